@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from amberlode.llm import near_dedup
+from amberlode.llm import bpe, bpe_tree, line_dedup, near_dedup, quality
 from amberlode.llm.common import table
 
 NEAR_DEDUP = near_dedup.Params(shingle=3, percent=85)
@@ -14,6 +15,22 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), NEAR_DEDUP)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tree.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -40,5 +57,49 @@ WITH RECURSIVE w AS (
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c ON c.d = n.doc_id
 """
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
-ORACLES = {"op1_minhash_near_dedup": OP1_SQL}
+OP5_SQL = rf"""
+WITH w AS (
+  SELECT doc_id, source, text, coalesce(regexp_extract_all(text, {_WORDS}), []) AS ws, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), win AS (
+  SELECT doc_id, text, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i+2])) AS g FROM w WHERE len(ws) > 3
+), rep AS (SELECT doc_id, text, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, text, g) > 1
+), cov AS (SELECT doc_id, text, count(DISTINCT j) AS n FROM (SELECT doc_id, text, unnest([i, i + 1, i + 2]) AS j FROM rep) GROUP BY ALL
+), b AS (
+  SELECT w.doc_id, w.source, w.text, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(length(array_to_string(ws, '')), 0) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(coalesce(w.text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+    CAST(len(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id AND cov.text = w.text
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b
+), l AS (
+  SELECT DISTINCT doc_id, source, text, unnest(list_filter(list_transform(ls, lambda x: lower(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'))), lambda x: length(x) >= 20)) AS k FROM w
+), n AS (SELECT source, k, count(DISTINCT text) AS n, arg_min(text, doc_id) AS holder FROM l GROUP BY ALL
+), h AS (SELECT source, count(DISTINCT text) AS texts FROM documents GROUP BY ALL
+), lim AS (SELECT n.source, k, holder FROM n JOIN h ON h.source = n.source WHERE n > 20 AND 100 * n > 5 * texts
+), lost AS (
+  SELECT l.doc_id, l.text, sum(CASE WHEN lim.k IS NOT NULL AND lim.holder <> l.text THEN length(l.k) ELSE 0 END) AS gone, sum(length(l.k)) AS total
+  FROM l LEFT JOIN lim ON lim.source = l.source AND lim.k = l.k GROUP BY ALL
+)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(100 * gone > 70 * total, false) AS kept
+FROM f LEFT JOIN lost ON lost.doc_id = f.doc_id AND lost.text = f.text
+"""
+
+OP8_SQL = r"""
+WITH l AS (
+  SELECT doc_id, i, x, translate(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))
+), c AS (SELECT k, max(doc_id) AS last_doc FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), m AS (SELECT l.*, c.k IS NOT NULL AND l.doc_id < c.last_doc AS gone FROM l LEFT JOIN c ON c.k = l.k)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_token_counts": op3_token_counts,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op8_line_dedup": op8_line_dedup,
+}
+ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op8_line_dedup": OP8_SQL}
