@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from amberlode.llm import bpe, bpe_tree, line_dedup, near_dedup, quality
-from amberlode.llm.common import table
+from amberlode.llm import ann, bpe, bpe_tree, license_scan, line_dedup, near_dedup, packing, quality, secret_scan
+from amberlode.llm.common import durable, table
 
 NEAR_DEDUP = near_dedup.Params(shingle=3, percent=85)
 
@@ -15,14 +16,27 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), NEAR_DEDUP)
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = bpe.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed(durable(counted.select("doc_id", "n_tokens"), "counts"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op6_additive_quantisation_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -31,6 +45,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_digests(table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -95,11 +113,44 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
 FROM m GROUP BY doc_id
 """
 
+_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in license_scan.TEMPLATES.items())
+
+
+def _license_words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+OP4_SQL = f"""
+WITH t AS (SELECT column0 AS license, {_license_words("column1")} AS ws FROM (VALUES {_TEMPLATES})
+), ts AS (SELECT DISTINCT license, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))) AS g FROM t
+), tn AS (SELECT license, count(*) AS n FROM ts GROUP BY license
+), d AS (SELECT doc_id, {_license_words("text")} AS ws FROM documents
+), ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))) AS g FROM d WHERE len(ws) >= 3
+), m AS (SELECT doc_id, license, count(*) AS k FROM ds JOIN ts ON ts.g = ds.g GROUP BY ALL)
+SELECT doc_id, m.license, n AS n_shingles, k AS n_found, round(k / n, 4) AS containment FROM m JOIN tn ON tn.license = m.license WHERE 100 * k >= 80 * n
+"""
+
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT q.vec_id AS query_id, v.vec_id, list_transform(list_zip(q.e, v.e), lambda z: (z[2] - z[1]) * (z[2] - z[1])) AS s
+  FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+), d AS (SELECT query_id, vec_id, sqrt(list_reduce(s, lambda a, b: a + b)) AS score FROM p)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM d
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) <= 10
+"""
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_counts": op3_token_counts,
+    "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
+    "op6_additive_quantisation_search": op6_additive_quantisation_search,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_line_dedup": op8_line_dedup,
+    "op10_secret_scan": op10_secret_scan,
 }
-ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op5_quality_rules": OP5_SQL, "op8_line_dedup": OP8_SQL}
+ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op4_license_scan": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_additive_quantisation_search": OP6_SQL, "op8_line_dedup": OP8_SQL}
