@@ -121,7 +121,7 @@ def _license_words(text: str) -> str:
 
 
 OP4_SQL = f"""
-WITH t AS (SELECT column0 AS license, {_license_words("column1")} AS ws FROM (VALUES {_TEMPLATES})
+WITH t AS (SELECT license, {_license_words("body")} AS ws FROM (VALUES {_TEMPLATES}) AS x(license, body)
 ), ts AS (SELECT DISTINCT license, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))) AS g FROM t
 ), tn AS (SELECT license, count(*) AS n FROM ts GROUP BY license
 ), d AS (SELECT doc_id, {_license_words("text")} AS ws FROM documents
