@@ -337,6 +337,13 @@ def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     )
 
 
+def deduplicated(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    """The rows of `docs`, all columns as they are, whose document stands for its class: its smallest doc_id. Rows without
+    doc_id stay."""
+    gone = near_duplicates(docs, p).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def _with_roots(found: DataFrame) -> DataFrame:
     """Adds the roots themselves as members."""
     return found.unionByName(found.select(F.col("root").alias("doc_id"), "root").distinct())

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberlode.llm import ann, bpe, bpe_tree, license_scan, line_dedup, near_dedup, packing, quality, secret_scan
+from amberlode.llm import ann, bpe, bpe_tree, html_main, license_scan, line_dedup, near_dedup, packing, quality, secret_scan
 from amberlode.llm.common import durable, table
 
 NEAR_DEDUP = near_dedup.Params(shingle=3, percent=85)
@@ -45,10 +45,20 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_digests(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
@@ -151,6 +161,8 @@ QUERIES = {
     "op6_additive_quantisation_search": op6_additive_quantisation_search,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_line_dedup": op8_line_dedup,
+    "op9_main_text": op9_main_text,
     "op10_secret_scan": op10_secret_scan,
+    "pipeline": pipeline,
 }
 ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op4_license_scan": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_additive_quantisation_search": OP6_SQL, "op8_line_dedup": OP8_SQL}
