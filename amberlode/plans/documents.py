@@ -1,0 +1 @@
+"""To be filled."""
