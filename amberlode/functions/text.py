@@ -56,22 +56,27 @@ def tokens(normalized: Column) -> Column:
     return F.filter(F.split(normalized, " "), lambda x: x != "")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once, however often `body(value)` uses it: a plain reference would be evaluated again in every lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trigrams(compacted: Column) -> Column:
     """Distinct three-character windows of the padded text."""
     padded = F.concat(F.lit("  "), compacted, F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, 3)))
+    return let(padded, lambda p: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, 3))))
 
 
-def ngrams(words: Column, longest: int, least_chars: int = 3) -> Column:
-    """All runs of 1 to `longest` words with at least `least_chars` characters besides spaces."""
-    runs = []
-    for n in range(1, longest + 1):
-        runs.append(F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), _run(words, n))).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.filter(F.concat(*runs), lambda g: F.length(F.replace(g, F.lit(" "), F.lit(""))) >= least_chars))
+def word_runs(words: Column, n: int) -> Column:
+    """All runs of `n` words, joined by spaces."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+    return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
-def _run(words: Column, n: int):
-    return lambda i: F.array_join(F.slice(words, i, n), " ")
+def ngrams(words: Column, longest: int, least_chars: int = 3) -> Column:
+    """All distinct runs of 1 to `longest` words with at least `least_chars` characters besides spaces."""
+    every = let(words, lambda w: F.concat(*[word_runs(w, n) for n in range(1, longest + 1)]))
+    return F.array_distinct(F.filter(every, lambda g: F.length(F.replace(g, F.lit(" "), F.lit(""))) >= least_chars))
 
 
 def slug(text: Column) -> Column:

@@ -69,7 +69,7 @@ def duplicates(entities: DataFrame) -> DataFrame:
 
 def mentions(texts: DataFrame, aliases: DataFrame, longest: int = 4) -> DataFrame:
     """doc_id, entity_id, gram, confidence: word runs of a text that equal an alias; a shared alias shares its confidence."""
-    grams = texts.select("doc_id", F.explode(T.ngrams(T.tokens(T.normalize(F.col("text"))), longest)).alias("gram"))
+    grams = texts.select("doc_id", F.explode_outer(T.ngrams(T.tokens(T.normalize(F.col("text"))), longest)).alias("gram"))
     known = aliases.select("entity_id", T.normalize(F.col("alias")).alias("gram")).distinct()
     share = known.groupBy("gram").agg(F.count("*").alias("n"))
     return grams.join(known, "gram").join(share, "gram").select("doc_id", "entity_id", "gram", F.round(0.8 / F.col("n"), 4).alias("confidence"))

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from amberlode.plans import aggregates, documents, facts, filters, joins, kernels, ranking, retrieval, scans, streams  # noqa: F401
+from amberlode.plans import aggregates, facts, filters, joins, kernels, ranking, retrieval, scans, streams  # noqa: F401
 from amberlode.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -1 +1,183 @@
-"""To be filled."""
+"""Keyword search, indexing, vectors, mentions and question answering over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from amberlode.functions import similarity as S
+from amberlode.functions import text as T
+from amberlode.operators import pipeline as P
+from amberlode.operators import rag, resolve, search
+from amberlode.plans.fixtures import ENTITIES_SQL, REVIEWED_SQL, places, reviewed
+from amberlode.plans.kernels import normal_sql
+from amberlode.plans.registry import query
+
+DOCS_SQL = f"""{ENTITIES_SQL}, docs AS (
+  SELECT id, path, type, n AS normalized_text, replace(n, ' ', '') AS compact_text, CASE WHEN k % 2 = 0 THEN 'place ' || n END AS aliases,
+    CASE type WHEN 'province' THEN 1.6 WHEN 'county' THEN 1.6 WHEN 'port' THEN 1.3 ELSE 1.0 END + least(0.5, k % 50 / 40.0::DOUBLE) AS boost
+  FROM (SELECT *, {normal_sql('name')} AS n FROM places WHERE visibility = 'published' AND merged_into_id IS NULL)
+  UNION ALL SELECT 30000000 + p_partkey, '/' || (1000000 + p_partkey % 5) || '/', 'word', n, replace(n, ' ', ''), lower(p_brand), 1.1 + least(0.5, p_size / 40.0::DOUBLE) FROM (SELECT *, {normal_sql('p_name')} AS n FROM part))"""
+
+
+def documents(t):
+    p = places(t).where("visibility = 'published' AND merged_into_id IS NULL")
+    place = search.index(p.select("id", "path", "type", F.col("name").alias("title"), (F.col("k") % 50).alias("facts"), "k"))
+    place = place.withColumn("aliases", F.when(F.col("k") % 2 == 0, F.concat(F.lit("place "), "normalized_text")))
+    region = F.concat(F.lit("/"), (F.col("p_partkey") % 5 + 1000000).cast("string"), F.lit("/"))
+    word = search.index(t("part").select((F.col("p_partkey") + 30000000).alias("id"), region.alias("path"), F.lit("word").alias("type"), F.col("p_name").alias("title"), F.col("p_size").cast("long").alias("facts"), F.lower("p_brand").alias("aliases")))
+    cols = ["id", "path", "type", "normalized_text", "compact_text", "aliases", "facts"]
+    return place.select(*cols).unionByName(word.select(*cols)).withColumn("boost", search.boost(F.col("type"), F.col("facts")))
+
+
+def score_sql(q: str) -> str:
+    c, words = q.replace(" ", ""), q.split()
+    return f"""(CASE WHEN normalized_text = '{q}' THEN 10 WHEN starts_with(normalized_text, '{q}') THEN 6 WHEN contains(normalized_text, '{q}') THEN 4 ELSE 0 END
+ + CASE WHEN contains(' ' || coalesce(aliases, '') || ' ', ' {q} ') OR compact_text = '{c}' THEN 7 WHEN contains(compact_text, '{c}') THEN 3 ELSE 0 END {''.join(f" + CASE WHEN contains(normalized_text, '{w}') THEN 1 ELSE 0 END" for w in words)}) * boost"""
+
+
+def match_sql(q: str) -> str:
+    return "(" + " AND ".join(f"contains(normalized_text, '{w}')" for w in q.split()) + f" OR contains(compact_text, '{q.replace(' ', '')}'))"
+
+
+T1 = f"WITH {DOCS_SQL}, s AS (SELECT id, CAST(round({score_sql("supplier")}, 4) AS DOUBLE) AS score FROM docs WHERE {match_sql("supplier")} AND contains(path, '/1000001/') ORDER BY score DESC, id LIMIT 50) SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM s"
+
+
+@query("t1_keyword_search", T1)
+def _(t):
+    """Search with a place filter: the ranked list of one query."""
+    return search.search(search.within(documents(t), 1000001), "supplier", 50)
+
+
+@query("t2_search_score", f"WITH {DOCS_SQL} SELECT id, CAST(round({score_sql('nation 2')}, 4) AS DOUBLE) AS score FROM docs WHERE {match_sql('nation 2')}")
+def _(t):
+    return documents(t).where(search.matches("nation 2")).select("id", F.round(search.score("nation 2"), 4).alias("score"))
+
+
+@query("t3_full_text", f"WITH {DOCS_SQL} SELECT id FROM docs WHERE contains(normalized_text, 'nation 1') AND contains(normalized_text, 'nation')")
+def _(t):
+    """All words and the phrase."""
+    return documents(t).where(F.col("normalized_text").contains("nation 1") & F.col("normalized_text").contains("nation")).select("id")
+
+
+@query("t4_entity_documents", f"{'WITH ' + ENTITIES_SQL}, o AS (SELECT o_custkey AS k, count(*) AS n, string_agg(DISTINCT o_orderpriority, ' ' ORDER BY o_orderpriority) AS lines FROM orders GROUP BY 1) SELECT c.id, c.name || ' ' || coalesce(p.name, '') || ' ' || coalesce(lines, '') AS body, CAST(coalesce(n, 0) AS BIGINT) AS facts FROM places c LEFT JOIN places p ON p.id = c.parent_id LEFT JOIN o ON o.k = c.k WHERE c.type = 'village'")
+def _(t):
+    """Name, parent's name and fact lines of each entity, gathered by one aggregate and two joins."""
+    p = places(t)
+    o = t("orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), " ").alias("lines"))
+    parent = p.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
+    j = p.where("type = 'village'").join(parent, "parent_id", "left").join(o, "k", "left")
+    return j.select("id", F.concat("name", F.lit(" "), F.coalesce("parent", F.lit("")), F.lit(" "), F.coalesce("lines", F.lit(""))).alias("body"), F.coalesce("n", F.lit(0)).alias("facts"))
+
+
+@query("t5_index_all", "SELECT 'sentence' AS kind, conv_id * 1000 + turn AS id, length(text) AS n FROM conversations UNION ALL SELECT 'page', page_id, length(url) FROM pages UNION ALL SELECT 'text', doc_id, length(text) FROM documents")
+def _(t):
+    parts = [
+        t("conversations").select(F.lit("sentence").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.length("text").cast("long").alias("n")),
+        t("pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.length("url").cast("long").alias("n")),
+        t("documents").select(F.lit("text").alias("kind"), F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("t6_profile_changes", "SELECT n.doc_id, o.h IS NULL AS is_new FROM (SELECT doc_id, md5(text) AS h, doc_id % 2 AS pub FROM documents) n LEFT JOIN (SELECT doc_id, md5(CASE WHEN doc_id % 10 = 0 THEN text || '!' ELSE text END) AS h, CASE WHEN doc_id % 15 = 0 THEN 1 - doc_id % 2 ELSE doc_id % 2 END AS pub FROM documents WHERE doc_id % 4 <> 3) o ON o.doc_id = n.doc_id WHERE o.h IS NULL OR o.h <> n.h OR o.pub <> n.pub")
+def _(t):
+    """Profiles to write: new, or with another hash or publicity than the stored one."""
+    d = t("documents")
+    new = d.select("doc_id", F.md5("text").alias("h"), (F.col("doc_id") % 2).alias("pub"))
+    old = d.where("doc_id % 4 <> 3").select("doc_id", F.md5(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("oh"), F.when(F.col("doc_id") % 15 == 0, 1 - F.col("doc_id") % 2).otherwise(F.col("doc_id") % 2).alias("op"))
+    j = new.join(old, "doc_id", "left")
+    return j.where(F.col("oh").isNull() | (F.col("oh") != F.col("h")) | (F.col("op") != F.col("pub"))).select("doc_id", F.col("oh").isNull().alias("is_new"))
+
+
+@query("v2_embed_missing")
+def _(t):
+    """Features of the texts that have no vector yet."""
+    missing = t("documents").join(t("embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+    return P.hash_embedding(missing.select("doc_id", F.substring("text", 1, 200).alias("text"))).groupBy("doc_id").agg(F.count("*").alias("buckets"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("norm2"))
+
+
+def _grams(words: str, longest: int) -> str:
+    return " UNION ".join(f"SELECT doc_id, unnest(list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i+{n - 1}], ' '))) AS gram FROM {words} WHERE len(w) >= {n}" for n in range(1, longest + 1))
+
+
+ALIAS_SQL = f"al AS (SELECT item_id AS entity_id, array_to_string(list_filter(string_split({normal_sql('text')}, ' '), lambda x: x <> '')[1:2], ' ') AS gram FROM benchmark)"
+WORDS_SQL = f"w AS (SELECT doc_id, list_filter(string_split({normal_sql('text')}, ' '), lambda x: x <> '') AS w FROM documents)"
+
+
+def aliases(t):
+    return t("benchmark").select(F.col("item_id").alias("entity_id"), F.array_join(F.slice(T.tokens(T.normalize(F.col("text"))), 1, 2), " ").alias("alias"))
+
+
+@query("e5_mentions", f"WITH {ALIAS_SQL}, {WORDS_SQL}, g AS ({_grams('w', 4)}), n AS (SELECT gram, count(DISTINCT entity_id) AS n FROM al GROUP BY gram) SELECT DISTINCT g.doc_id, al.entity_id, g.gram, round(0.8 / n, 4) AS confidence FROM g JOIN al ON al.gram = g.gram JOIN n ON n.gram = g.gram WHERE length(replace(g.gram, ' ', '')) >= 3")
+def _(t):
+    return resolve.mentions(t("documents"), aliases(t))
+
+
+@query("e6_mention_visibility", "SELECT event_id FROM events WHERE event_type = 'purchase' OR (event_type = 'view' AND value >= 80)")
+def _(t):
+    return t("events").where((F.col("event_type") == "purchase") | ((F.col("event_type") == "view") & (F.col("value") >= 80))).select("event_id")
+
+
+@query("j15_gazetteer", f"WITH {ALIAS_SQL}, {WORDS_SQL}, g AS ({_grams('w', 2)}) SELECT al.entity_id, count(DISTINCT g.doc_id) AS docs FROM g JOIN al ON al.gram = g.gram WHERE length(replace(g.gram, ' ', '')) >= 3 GROUP BY 1")
+def _(t):
+    return resolve.mentions(t("documents"), aliases(t), 2).groupBy("entity_id").agg(F.countDistinct("doc_id").alias("docs"))
+
+
+@query("f9_quote_offsets", f"WITH d AS (SELECT doc_id, {normal_sql('text')} AS n FROM documents), b AS (SELECT item_id, {normal_sql('text')} AS q FROM benchmark) SELECT doc_id, item_id, CAST(strpos(n, q) - 1 AS INTEGER) AS at FROM d JOIN b ON contains(n, q)")
+def _(t):
+    return rag.quotes(t("documents"), t("benchmark"))
+
+
+@query("j16_containment", f"WITH d AS (SELECT doc_id, {normal_sql('text')} AS n FROM documents), b AS (SELECT item_id, {normal_sql('text')} AS q FROM benchmark) SELECT item_id, count(*) AS docs FROM d JOIN b ON contains(n, q) GROUP BY item_id")
+def _(t):
+    return rag.quotes(t("documents"), t("benchmark")).groupBy("item_id").agg(F.count("*").alias("docs"))
+
+
+@query("r1_question_analysis", f"WITH {ALIAS_SQL}, qs AS (SELECT conv_id * 1000 + turn AS doc_id, list_filter(string_split({normal_sql('text')}, ' '), lambda x: x <> '') AS w FROM conversations), g AS ({_grams('qs', 3)}) SELECT doc_id AS question_id, min(entity_id) AS entity_id, count(DISTINCT entity_id) AS n FROM g JOIN al ON al.gram = g.gram WHERE length(replace(g.gram, ' ', '')) >= 3 GROUP BY doc_id")
+def _(t):
+    q = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return resolve.mentions(q, aliases(t), 3).groupBy(F.col("doc_id").alias("question_id")).agg(F.min("entity_id").alias("entity_id"), F.countDistinct("entity_id").alias("n"))
+
+
+def _dot(a, b):
+    return f"list_reduce(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)), lambda x, y: x + y)"
+
+
+LISTS_SQL = f"""q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 7),
+vec AS (SELECT 'vector' AS list, vec_id AS key, row_number() OVER (ORDER BY round({_dot('embedding', 'qe')}, 9) DESC, vec_id) - 1 AS rank FROM embeddings, q),
+kw AS (SELECT 'keyword' AS list, doc_id AS key, row_number() OVER (ORDER BY n DESC, doc_id) - 1 AS rank FROM (SELECT doc_id, (CASE WHEN contains(lower(text), 'erend') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'thble') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'eauai') THEN 1 ELSE 0 END) AS n FROM documents) WHERE n > 0),
+lists AS (SELECT * FROM vec WHERE rank < 20 UNION ALL SELECT * FROM kw WHERE rank < 20)"""
+
+
+def lists(t):
+    one = F.broadcast(t("embeddings").where("vec_id = 7").select(F.col("embedding").alias("qe")))
+    near = t("embeddings").join(one, how="cross").select(F.lit("vector").alias("list"), F.col("vec_id").alias("key"), F.round(S.dot(F.col("embedding"), F.col("qe")), 9).alias("s"))
+    text = F.lower("text")
+    hits = sum((F.when(text.contains(w), 1).otherwise(0) for w in ("thble", "eauai")), F.when(text.contains("erend"), 1).otherwise(0))
+    words = t("documents").select(F.lit("keyword").alias("list"), F.col("doc_id").alias("key"), hits.cast("double").alias("s")).where("s > 0")
+    tops = [x.orderBy(F.desc("s"), "key").limit(20) for x in (near, words)]
+    rank = (F.row_number().over(Window.partitionBy("list").orderBy(F.desc("s"), "key")) - 1).cast("long")
+    return tops[0].unionByName(tops[1]).select("list", "key", rank.alias("rank"))
+
+
+@query("r2_ranked_lists", f"WITH {LISTS_SQL} SELECT * FROM lists")
+def _(t):
+    return lists(t)
+
+
+@query("r3_rrf", f"WITH {LISTS_SQL} SELECT key, round(sum(1.0 / (60 + rank + 1)), 6) AS score FROM lists GROUP BY key")
+def _(t):
+    return rag.fused(lists(t)).select("key", F.round("score", 6).alias("score"))
+
+
+@query("r4_budget", "SELECT source, doc_id FROM (SELECT source, doc_id, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM documents) WHERE used < 24000")
+def _(t):
+    d = t("documents").select("source", "doc_id", F.length("text").alias("chars"))
+    return rag.within_budget(d, ["source"], ["doc_id"], 24000).select("source", "doc_id")
+
+
+@query("r5_answer_gate", "SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'insufficient' WHEN turn % 4 <> 0 AND turn >= 1 AND turn <= conv_id % 3 THEN 'answered' ELSE 'rejected_uncited' END AS state FROM conversations")
+def _(t):
+    answer = F.when(F.col("turn") % 4 != 0, F.concat("text", F.lit(" ["), F.col("turn").cast("string"), F.lit("]"))).otherwise(F.col("text"))
+    return t("conversations").select("conv_id", "turn", rag.gate(answer, F.col("conv_id") % 3).alias("state"))

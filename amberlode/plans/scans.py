@@ -1 +1,106 @@
-"""To be filled."""
+"""Scans, sources and sinks over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from amberlode.plans.fixtures import ENTITIES_SQL, places
+from amberlode.plans.registry import query
+from amberlode.sources import tables as X
+
+
+@query("s1_scan", "SELECT p_partkey, p_name FROM part WHERE p_size % 10 <> 0")
+def _(t):
+    """A scan with the rule that deleted rows don't show."""
+    deleted = F.when(F.col("p_size") % 10 == 0, F.lit("2024-01-01"))
+    return t("part").where(deleted.isNull()).select("p_partkey", "p_name")
+
+
+@query("s2_csv_import", "SELECT CASE WHEN c_custkey % 9 = 0 THEN 'source' WHEN trim(c_mktsegment) = 'BUILDING' THEN 'kind' ELSE 'accepted' END AS outcome, count(*) AS n FROM customer GROUP BY 1")
+def _(t):
+    rows = t("customer").select(F.when(F.col("c_custkey") % 9 != 0, F.col("c_custkey").cast("string")).alias("source"), F.trim("c_mktsegment").alias("kind"))
+    ok, bad = X.split_valid(rows, {"source": F.col("source").isNotNull(), "kind": F.col("kind") != "BUILDING"})
+    return ok.select(F.lit("accepted").alias("outcome")).unionByName(bad.select(F.col("reason").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("s3_registry", "SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN bad THEN 'rejected' WHEN row_number() OVER (PARTITION BY bad, k ORDER BY p_partkey) > 1 THEN 'matched' ELSE 'accepted' END AS outcome FROM (SELECT p_partkey, p_partkey % 1000 AS k, p_size % 10 = 0 OR p_partkey % 7 = 0 AS bad FROM part)) GROUP BY outcome")
+def _(t):
+    e = t("part").select(
+        F.col("p_partkey").alias("pos"), F.when(F.col("p_size") % 10 == 0, " ").otherwise(F.col("p_name")).alias("title"), F.when(F.col("p_partkey") % 7 == 0, "blog").otherwise("book").alias("source_type"),
+        F.concat(F.lit("HTTPS://Example.org/"), (F.col("p_partkey") % 1000).cast("string"), F.when(F.col("p_partkey") % 2 == 0, "/?utm_source=x").otherwise("")).alias("url"), F.lit(3).alias("tier"),
+    )
+    return X.registry(e).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("s4_dump", "SELECT 'Q' || c_custkey AS id, 'Q' || c_nationkey AS parent FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 5 <> 0")
+def _(t):
+    """Lines of a dump: prefiltered as text, then parsed."""
+    c = t("customer")
+    line = F.concat(
+        F.lit('{"type":"item","id":"Q'), c.c_custkey.cast("string"), F.lit('","labels":{"en":{"value":"'), c.c_name, F.lit('"},"xx":{"value":"-"}},"claims":{"P17":["'),
+        F.when(c.c_custkey % 5 == 0, "Q30").otherwise("Q794"), F.lit('"]'), F.when(c.c_custkey % 4 != 0, F.concat(F.lit(',"P131":["Q'), c.c_nationkey.cast("string"), F.lit('"]'))).otherwise(""), F.lit("}},"),
+    )
+    return X.read_dump(c.select(line.alias("value")), "Q794").select("id", F.col("parents")[0].alias("parent"))
+
+
+@query("s6_category_members")
+def _(t):
+    """Anchors of listing pages, by pattern."""
+    return t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<li><a href="([^"]+)">([^<]*)</a>'), 2)).alias("title"))
+
+
+@query("s7_gallery_selection", "SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) <= 3")
+def _(t):
+    w = Window.partitionBy("p_brand").orderBy(F.desc("p_size"), "p_partkey")
+    return t("part").select("p_brand", "p_partkey", F.row_number().over(w).alias("rn")).where("rn <= 3").drop("rn")
+
+
+@query("s8_fetch_gate", "SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'disabled' WHEN page_id % 7 = 0 THEN 'terms' WHEN NOT regexp_matches(url, '^https') THEN 'policy' WHEN contains(url, '/fr/') THEN 'glob' WHEN contains(url, '/de/') THEN 'robots' END AS reason FROM pages")
+def _(t):
+    url = F.col("url")
+    reasons = [(F.col("page_id") % 11 == 0, "disabled"), (F.col("page_id") % 7 == 0, "terms"), (~url.startswith("https"), "policy"), (url.rlike("/fr/"), "glob"), (url.contains("/de/"), "robots")]
+    return t("pages").select("page_id", F.coalesce(*[F.when(c, r) for c, r in reasons]).alias("reason"))
+
+
+@query("s9_content_dedup", "SELECT sha256(text) AS hash, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY 1")
+def _(t):
+    return X.content_addressed(t("documents"), "text", "doc_id")
+
+
+@query("s11_export", f"WITH {ENTITIES_SQL} SELECT p.id, count(o_orderkey) AS facts, coalesce(min(o_orderkey), 0) AS first FROM places p LEFT JOIN orders ON o_custkey = k WHERE type = 'village' GROUP BY p.id")
+def _(t):
+    """The nested export row of each entity, flattened for comparison."""
+    facts = t("orders").groupBy(F.col("o_custkey").alias("k")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("facts"))
+    nested = places(t).where("type = 'village'").join(facts, "k", "left").select(F.to_json(F.struct("id", "name", F.coalesce("facts", F.array().cast("array<bigint>")).alias("facts"))).alias("row"))
+    x = nested.select(F.from_json("row", "id long, name string, facts array<long>").alias("x"))
+    return x.select("x.id", F.size("x.facts").cast("long").alias("facts"), F.coalesce(F.get("x.facts", F.lit(0)), F.lit(0)).alias("first"))
+
+
+@query("s12_manifest", " UNION ALL ".join(f"SELECT '{x}' AS \"table\", count(*) AS n FROM {x}" for x in ("region", "nation", "customer", "supplier", "part", "orders", "documents", "pages")))
+def _(t):
+    return X.manifest({x: t(x) for x in ("region", "nation", "customer", "supplier", "part", "orders", "documents", "pages")})
+
+
+@query("s15_report", "SELECT count(*) AS found, count(*) FILTER (WHERE text <> '') AS accepted, count(*) - count(DISTINCT text) AS matched, count(*) FILTER (WHERE length(text) < 100) AS short FROM documents")
+def _(t):
+    return t("documents").agg(F.count("*").alias("found"), F.count_if(F.col("text") != "").alias("accepted"), (F.count("*") - F.countDistinct("text")).alias("matched"), F.count_if(F.length("text") < 100).alias("short"))
+
+
+@query("s16_html_grid")
+def _(t):
+    """Table cells of a page as (row, column, text), unpivoted natively from generated tables."""
+    html = F.concat(F.lit("<table><tr><td>"), "p_name", F.lit("</td><td>"), "p_brand", F.lit("</td></tr><tr><td>"), "p_type", F.lit("</td><td>x</td></tr></table>"))
+    rows = t("part").select("p_partkey", F.posexplode(F.regexp_extract_all(html, F.lit("<tr>(.*?)</tr>"), 1)).alias("r", "row"))
+    return rows.select("p_partkey", "r", F.posexplode(F.regexp_extract_all("row", F.lit("<td>(.*?)</td>"), 1)).alias("c", "cell"))
+
+
+@query("s17_links", """SELECT page_id, count(DISTINCT CASE WHEN starts_with(h, '/') THEN regexp_extract(url, '^([a-z]+://[^/]+)', 1) || h ELSE h END) AS n FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"#][^"]*)"', 1)) AS h FROM pages) GROUP BY page_id""")
+def _(t):
+    return t("pages").select("page_id", F.size(X.links(F.col("html"), F.col("url"))).cast("long").alias("n"))
+
+
+@query("s18_segments", "SELECT conv_id, turn, CAST(round(turn * 2.5 * 1000) AS BIGINT) AS start_ms, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) + 10 AS seq, trim(text) AS text FROM conversations")
+def _(t):
+    seq = (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role")) + 10).cast("long")
+    return t("conversations").select("conv_id", "turn", F.round(F.col("turn") * 2.5 * 1000).cast("long").alias("start_ms"), seq.alias("seq"), F.trim("text").alias("text"))
