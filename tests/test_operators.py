@@ -1,0 +1,92 @@
+"""Behaviour of the composed operators on small literal tables."""
+
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from amberlode.operators import facts as O
+from amberlode.operators import graph, rag, resolve
+from amberlode.sources import tables as X
+from amberlode.streaming import jobs
+
+KEY = ["entity_id", "property", "qualifier"]
+SCHEMA = "assertion_id long, entity_id long, property string, qualifier string, value string, source_id long, status string, ts timestamp"
+
+
+def assertions(spark, rows):
+    t = datetime(2024, 1, 1)
+    return spark.createDataFrame([(i, 1, p, q, v, s, st, t + timedelta(hours=i)) for i, (p, q, v, s, st) in enumerate(rows)], SCHEMA)
+
+
+ROWS = [("founded", "-", "1890", 1, "ai_extracted"), ("founded", "-", "1890", 2, "source_verified"), ("founded", "-", "1895", 3, "unverified"), ("people", "1976", "120", 1, "unverified"), ("people", "2016", "300", 1, "unverified")]
+
+
+def test_corroboration_and_conflict_whatever_the_order(spark):
+    for rows in (ROWS, ROWS[::-1]):
+        f = O.corroborated(assertions(spark, rows), KEY)
+        got = {r.value: (r.sources_count, r.status) for r in f.collect()}
+        assert got["1890"] == (2, "source_verified") and got["1895"][0] == 1
+        assert [(r.property, r.n_values) for r in O.conflicts(f, KEY).collect()] == [("founded", 2)]
+
+
+def test_resolution_decisions(spark):
+    a = spark.createDataFrame([(1, "Bandar Abbas", False, None), (2, "Gamron", True, None), (3, "Dehnow", False, None), (4, "Dehnow", False, "Q4")], "entity_id long, alias string, historical boolean, external_id string")
+    q = spark.createDataFrame([(1, "bandar-e abbas", None), (2, "Gamron", None), (3, "Dehnow", None), (4, "Dehnow", "Q4"), (5, "Nowhere", None)], "query_id long, text string, external_id string")
+    got = {r.query_id: (r.entity_id, r.decision) for r in resolve.decisions(resolve.candidates(q, a)).collect()}
+    assert got[1] == (1, "matched") and got[2] == (2, "review") and got[3][1] == "review" and 5 not in got
+    assert got[4][0] == 4
+
+
+def test_duplicates_far_apart_are_left(spark):
+    e = spark.createDataFrame([(1, "Deh", "village", 9, 27.1, 56.2, None), (2, "Deh", "village", 9, 27.1001, 56.2001, None), (3, "Deh", "village", 9, 26.0, 54.0, None)], "id long, name string, type string, parent_id long, lat double, lng double, external_id string")
+    assert [tuple(r) for r in resolve.duplicates(e).collect()] == [(1, 2, 0.95)]
+
+
+def test_paths_closure_and_merges(spark):
+    n = spark.createDataFrame([(1, None), (2, 1), (3, 2)], "id long, parent_id long")
+    assert {r.id: r.path for r in graph.paths(n).collect()} == {1: "/1/", 2: "/1/2/", 3: "/1/2/3/"}
+    cycle = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "id long, parent_id long")
+    assert {r.id for r in graph.closure(cycle, n.where("id = 1").select("id")).collect()} == {1, 2, 3}
+    m = spark.createDataFrame([(i, i + 1 if i < 6 else None) for i in range(1, 7)], "id long, merged_into_id long")
+    assert {r.target for r in graph.follow_merges(m).collect()} == {6}
+
+
+def test_fusion_ignores_the_order_of_lists(spark):
+    rows = [("a", 1, 0), ("a", 2, 1), ("b", 2, 0), ("b", 2, 5)]
+    schema = "list string, key long, rank long"
+    one, two = (sorted(map(tuple, rag.fused(spark.createDataFrame(x, schema)).collect())) for x in (rows, rows[::-1]))
+    assert one == two and round(one[1][1], 9) == round(1 / 62 + 1 / 61, 9)
+
+
+def test_answers_must_cite_what_was_found(spark):
+    df = spark.createDataFrame([("yes [1]", 2), ("no", 2), ("out [9]", 2), ("x [1]", 0)], "a string, n long")
+    assert [r[0] for r in df.select(rag.gate(F.col("a"), F.col("n"))).collect()] == ["answered", "rejected_uncited", "rejected_uncited", "insufficient"]
+
+
+def test_registry_counts(spark, tmp_path):
+    p = tmp_path / "r.json"
+    p.write_text('{"sources":[{"title":"A","source_type":"book","url":"https://x.org/a","tier":1},{"title":"A","source_type":"book","url":"https://X.org/a/?utm_source=1","tier":1},{"title":"","source_type":"book","url":"https://x.org/b","tier":1},{"title":"C","source_type":"blog","url":"https://x.org/c","tier":1}]}')
+    got = {r.outcome: r["count"] for r in X.read_registry(spark, str(p)).groupBy("outcome").count().collect()}
+    assert got == {"accepted": 1, "matched": 1, "rejected": 2}
+
+
+def test_csv_and_export(spark, tmp_path):
+    p = tmp_path / "w.csv"
+    p.write_text("﻿Word , Source\n a ,1\n\n,\nb\n", encoding="utf-8")
+    rows = X.read_csv(spark, str(p), ["word", "source"])
+    assert sorted((r.word, r.source) for r in rows.collect()) == [("a", "1"), ("b", None)]
+    X.export_jsonl(rows, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+def test_streams_equal_their_batch_twins(spark, tmp_path):
+    a = assertions(spark, ROWS)
+    src, out = str(tmp_path / "in"), []
+    a.repartition(3).write.parquet(src)
+
+    def keep(df, batch):
+        out.extend(map(tuple, df.collect()))
+
+    jobs.run_available(jobs.conflict_state(jobs.file_stream(spark, src, a.schema, 1)), keep, str(tmp_path / "cp"), "update")
+    last = {r[:3]: r[3:] for r in out}
+    assert last[(1, "founded", "-")] == (2, 3, True) and last[(1, "people", "1976")] == (1, 1, False)
