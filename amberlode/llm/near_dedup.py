@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from amberlode.llm.common import durable, remove
 
+_M3 = np.uint32(0x2C1B3C6D)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -135,7 +136,12 @@ def minima(shingles: np.ndarray, add: np.ndarray, times: np.ndarray, block: int
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     out = None
     for i in range(0, len(x), block):
-        least = (((x[None, i : i + block]) ^ add) * times).min(axis=1)
+        h = (x[None, i : i + block] ^ add) * times
+        h ^= h >> np.uint32(15)  # a product alone is linear, and minima of linear functions go together
+        h *= _M3
+        h ^= h >> np.uint32(13)
+        h *= times
+        least = h.min(axis=1)
         out = least if out is None else np.minimum(out, least)
     return out
 
