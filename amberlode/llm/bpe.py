@@ -42,42 +42,61 @@ class MergeCounter:
         self.library = Tokenizer.from_file(path)
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
-        self.rank = {tuple(pair): i for i, pair in enumerate(model["merges"])}
-        self.symbols = byte_symbols()
+        number = model["vocab"]
+        #: A pair of symbols, as one integer, to its rank; a rank to the merged symbol; a byte to its symbol, inside and at the end of a word.
+        self.rank = {number[a] << 20 | number[b]: i for i, (a, b) in enumerate(model["merges"])}
+        self.merged = [number[a + b] for a, b in model["merges"]]
+        self.inner, self.last = [number[x] for x in byte_symbols()], [number[x + self.end] for x in byte_symbols()]
         first = spec["pre_tokenizer"]["pretokenizers"][0] if spec["pre_tokenizer"]["type"] == "Sequence" else None
         self.split = regex.compile(first["pattern"]["Regex"])
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.normalize = self.library.normalizer.normalize_str if self.library.normalizer else str
         self.chunks = _Chunks(self)
+        self.words: dict[str, int] = {}
+        #: ASCII without white space: the normaliser only lowers it, and the pattern takes a run of letters whole.
+        steps = (spec["normalizer"] or {}).get("normalizers", [])
+        self.plain_ascii = [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
 
     def merges(self, word: str) -> int:
-        """Tokens of one word: its symbols less the merges."""
-        symbols: list[str | None] = [self.symbols[b] for b in word.encode()]
-        if not symbols:
+        """Tokens of one word: its symbols less the merges.
+
+        Heap entries are one integer each, rank above position, so the lowest rank comes first and of equal ranks the
+        leftmost. An entry is stale if the pair at its position now is another one."""
+        raw = word.encode()
+        if not raw:
             return 0
-        symbols[-1] += self.end
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, i + 1) for i in range(n - 1) if (r := self.rank.get((symbols[i], symbols[i + 1]))) is not None]
+        rank, merged = self.rank.get, self.merged
+        symbols = [self.inner[b] for b in raw]
+        symbols[-1] = self.last[raw[-1]]
+        n = left = len(symbols)
+        heap = []
+        for i in range(n - 1):
+            r = rank(symbols[i] << 20 | symbols[i + 1])
+            if r is not None:
+                heap.append(r << 32 | i)
         heapq.heapify(heap)
-        left = n
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            r, i, j = heapq.heappop(heap)
-            # an entry is stale if either symbol was merged since: then the two are gone, apart, or of another rank
-            if symbols[i] is None or symbols[j] is None or after[i] != j or self.rank.get((symbols[i], symbols[j])) != r:
+            entry = heapq.heappop(heap)
+            r, i = entry >> 32, entry & 0xFFFFFFFF
+            j = after[i]
+            if symbols[i] < 0 or j >= n or rank(symbols[i] << 20 | symbols[j]) != r:
                 continue
-            symbols[i] += symbols[j]
-            symbols[j] = None
+            symbols[i] = one = merged[r]
+            symbols[j] = -1
             left -= 1
-            k = after[i] = after[j]
+            after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := self.rank.get((symbols[i], symbols[k]))) is not None:
-                    heapq.heappush(heap, (r, i, k))
+                r = rank(one << 20 | symbols[k])
+                if r is not None:
+                    heapq.heappush(heap, r << 32 | i)
             h = before[i]
-            if h >= 0 and (r := self.rank.get((symbols[h], symbols[i]))) is not None:
-                heapq.heappush(heap, (r, h, i))
+            if h >= 0:
+                r = rank(symbols[h] << 20 | one)
+                if r is not None:
+                    heapq.heappush(heap, r << 32 | h)
         return left
 
     def _chunk(self, chunk: str) -> int:
@@ -85,7 +104,19 @@ class MergeCounter:
         if self.special is not None and self.special.search(chunk):
             parts = self.special.split(chunk)
             return len(parts) - 1 + sum(self._chunk(x) for x in parts if x)
-        return sum(map(self.merges, self.split.findall(self.normalize(chunk))))
+        text = chunk.lower() if self.plain_ascii and chunk.isascii() else self.normalize(chunk)
+        found = (text,) if text.isascii() and text.isalpha() else self.split.findall(text)
+        total = 0
+        for word in found:
+            n = self.words.get(word)
+            if n is None:
+                n = self.merges(word)
+                if len(word) <= CACHED_LENGTH:
+                    if len(self.words) >= CACHED_WORDS:
+                        self.words.clear()
+                    self.words[word] = n
+            total += n
+        return total
 
     def count(self, text: bytes | None) -> int:
         """Tokens of a text in UTF-8. No token, and no normalisation, spans ASCII white space, so counts add up over its parts."""
