@@ -2,9 +2,9 @@
 
 Rules on the text itself come first. Then normalised lines are hashed and the distinct documents of each host
 that hold a line are counted, exact copies of a text as one; a line that more than `least_docs` of them and more
-than `percent` per cent of the host's texts hold is boilerplate. It is removed everywhere but in the text of the
-smallest doc_id that holds it, and a document that loses more than `most_lost` per cent of the characters of its
-lines is depleted and rejected.
+than `percent` per cent of the host's texts hold is boilerplate; at 0 per cent the number alone decides, however
+large the host. It is removed everywhere but in the text of the smallest doc_id that holds it, and a document that
+loses more than `most_lost` per cent of the characters of its lines is depleted and rejected.
 
 Defined results: null or blank text has zero words and fails; a null host is a host; rows without doc_id are judged
 like others and come last where a line's first holder is sought; repeated rows are judged alike; other columns are
@@ -49,12 +49,20 @@ def repeated_words(words: Column) -> Column:
     return let(words, of)
 
 
+def normal_line(line: Column) -> Column:
+    return F.lower(F.btrim(line, F.lit(SPACE_CHARS)))
+
+
+def line_hash(normal: Column) -> list[Column]:
+    return [F.xxhash64(normal).alias("h1"), F.xxhash64(F.lit(5), normal).alias("h2")]
+
+
 def base_rules(docs: DataFrame, p: Params) -> DataFrame:
     """doc_id, source, a, b (text key), the counts, base_failed, and lines: hashes and lengths of the distinct long lines."""
     text = F.coalesce("text", F.lit(""))
     worded = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
-    normal = F.filter(F.transform(F.split(text, "\n"), lambda x: F.lower(F.btrim(x, F.lit(SPACE_CHARS)))), lambda x: F.length(x) >= p.least_chars)
-    hashed = F.array_distinct(F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(5), x).alias("h2"), F.length(x).alias("chars"))))
+    normal = F.filter(F.transform(F.split(text, "\n"), normal_line), lambda x: F.length(x) >= p.least_chars)
+    hashed = F.array_distinct(F.transform(normal, lambda x: F.struct(*line_hash(x), F.length(x).alias("chars"))))
 
     def counts(w: Column) -> Column:
         return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).cast("long").alias("n_repeat_words"))
@@ -67,8 +75,11 @@ def base_rules(docs: DataFrame, p: Params) -> DataFrame:
     return rows.select("doc_id", "source", "t.a", "t.b", "c.n_words", "c.word_chars", "n_symbols", "n_dup_lines", "c.n_repeat_words", failed.alias("base_failed"), "lines")
 
 
-def depleted(rules: DataFrame, p: Params) -> DataFrame:
-    """doc_id, source, a, b of the documents that boilerplate makes up; `rules` as from `base_rules`."""
+_KEY = ["doc_id", "source", "a", "b"]
+
+
+def lost_lines(rules: DataFrame, p: Params) -> DataFrame:
+    """doc_id, source, a, b, depleted and lost (hashes of the boilerplate lines) of the documents that lose any; `rules` as from `base_rules`."""
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["chars"])
     lines = rules.where(F.size("lines") > 0).select("doc_id", "source", "a", "b", total.alias("total"), F.explode("lines").alias("x")).select("doc_id", "source", "a", "b", "total", "x.*")
     per_text = lines.groupBy("source", "h1", "h2", "a", "b").agg(F.min("doc_id").alias("first"))
@@ -77,8 +88,8 @@ def depleted(rules: DataFrame, p: Params) -> DataFrame:
     limited = frequent.alias("f").join(hosts.alias("h"), F.expr("f.source <=> h.source")).where(100 * F.col("n") > p.percent * F.col("texts"))
     limited = limited.select(F.col("f.source").alias("host"), F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("holder.a").alias("ha"), F.col("holder.b").alias("hb"))
     gone = lines.join(limited, F.expr("h1 = k1 AND h2 = k2 AND source <=> host")).where("NOT (a = ha AND b = hb)")
-    gone = gone.select("doc_id", "source", "a", "b", "total", "h1", "h2", "chars").distinct().groupBy("doc_id", "source", "a", "b", "total").agg(F.sum("chars").alias("lost"))
-    return gone.where(100 * F.col("lost") > p.most_lost * F.col("total")).select("doc_id", "source", "a", "b")
+    gone = gone.select("doc_id", "source", "a", "b", "total", "h1", "h2", "chars").distinct().groupBy(*_KEY, "total").agg(F.sum("chars").alias("chars"), F.collect_list(F.struct("h1", "h2")).alias("lost"))
+    return gone.select(*_KEY, (100 * F.col("chars") > p.most_lost * F.col("total")).alias("depleted"), "lost")
 
 
 _SAME = "l.doc_id <=> r.doc_id AND l.source <=> r.source AND l.a = r.a AND l.b = r.b"
@@ -87,16 +98,21 @@ _SAME = "l.doc_id <=> r.doc_id AND l.source <=> r.source AND l.a = r.a AND l.b =
 def judged(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, the counts, base_failed and kept of each row of `docs` (doc_id, text, source)."""
     rules = durable(base_rules(docs, p), "rules")
-    gone = depleted(rules, p).withColumn("gone", F.lit(True))
+    gone = lost_lines(rules, p).where("depleted").select(*_KEY, F.lit(True).alias("gone"))
     out = rules.drop("lines").alias("l").join(gone.alias("r"), F.expr(_SAME), "left")
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return out.select(*[F.col(f"l.{c}") for c in names], (~F.col("l.base_failed") & F.col("r.gone").isNull()).alias("kept"))
 
 
 def passing(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of `docs` that pass every rule, all columns as they are."""
+    """The rows of `docs` that pass every rule, their texts without boilerplate lines, all other columns as they are."""
     rules = durable(base_rules(docs, p), "rules")
-    bad = depleted(rules, p).unionByName(rules.where("base_failed").select("doc_id", "source", "a", "b")).distinct()
+    lost = lost_lines(rules, p)
+    failed = rules.where("base_failed").select(*_KEY, F.lit(True).alias("depleted"), F.lit(None).cast(lost.schema["lost"].dataType).alias("lost"))
+    marks = lost.unionByName(failed).groupBy(*_KEY).agg(F.max("depleted").alias("_bad"), F.first("lost", ignorenulls=True).alias("_lost"))
+    marks = marks.select(*[F.col(c).alias(f"_{c}") for c in _KEY], "_bad", "_lost")
     keyed = docs.withColumn("_t", text_key(F.col("text")))
-    on = keyed["doc_id"].eqNullSafe(bad["doc_id"]) & keyed["source"].eqNullSafe(bad["source"]) & (keyed["_t.a"] == bad["a"]) & (keyed["_t.b"] == bad["b"])
-    return keyed.join(bad, on, "left_anti").drop("_t")
+    on = keyed["doc_id"].eqNullSafe(marks["_doc_id"]) & keyed["source"].eqNullSafe(marks["_source"]) & (keyed["_t.a"] == marks["_a"]) & (keyed["_t.b"] == marks["_b"])
+    rest = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("_lost"), F.struct(*line_hash(normal_line(x)))))
+    text = F.when(F.col("_lost").isNull(), F.col("text")).otherwise(F.array_join(rest, "\n"))
+    return keyed.join(marks, on, "left").where("NOT coalesce(_bad, false)").select(*[text.alias(c) if c == "text" else F.col(c) for c in docs.columns])

@@ -15,11 +15,6 @@ from amberlode.llm import bpe, line_dedup, near_dedup, packing, quality, secret_
 from amberlode.llm.common import durable, table
 
 
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    return quality.passing(docs)
-
-
 def _resized(docs: DataFrame) -> DataFrame:
     """n_chars follows a text that was changed."""
     if "n_chars" not in docs.columns:
@@ -27,6 +22,11 @@ def _resized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go, and texts lose their boilerplate lines; the limit of a line doesn't grow with its host."""
+    return _resized(quality.passing(docs, quality.Params(percent=0)))
+
+
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose their crowded lines."""
     out = line_dedup.deduplicated(docs)

@@ -169,6 +169,19 @@ def test_boilerplate_rejects_all_but_its_first_holder(spark):
     assert sorted(r.doc_id for r in quality.passing(docs(spark, t)).collect()) == [0, *range(25, 55)]
 
 
+def test_boilerplate_lines_leave_the_texts_however_large_the_host(spark):
+    import corpus_pipeline as cp
+
+    line = "Subscribe to our weekly newsletter"
+    own = ["\n".join(" ".join(words(random.Random(1000 * i + k), 10)) for k in range(8)) for i in range(600)]
+    t = [x if i >= 25 else f"{x}\n  {line.upper() if i % 2 else line} \nshort" for i, x in enumerate(own)]  # 25 of 600 texts: under 5 per cent
+    got = {r.doc_id: r for r in cp.quality_rules(spark, docs(spark, t), "").collect()}
+    assert sorted(got) == list(range(600))
+    assert got[0].text == t[0] and all(got[i].text == own[i] + "\nshort" for i in range(1, 25)) and all(got[i].text == own[i] for i in range(25, 600))
+    assert all(r.n_chars == len(r.text) and r.h == "clash" for r in got.values())
+    assert {r.text for r in quality.passing(docs(spark, t)).collect()} == set(t)  # the operator's own limit, as its SQL has it
+
+
 def test_nearest_neighbours(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(700, 8)).astype(np.float32)
