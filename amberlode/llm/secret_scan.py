@@ -27,13 +27,19 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]+", 0, 32),
 }
+_BREAK = r"(?:\s|\\+[nrt])"
+#: From BEGIN to END whatever lies between, but no other mark; where END is missing, header lines and what can be a key's body.
+_PEM = (
+    r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:(?s:(?!-----(?:BEGIN|END) ).)*+-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+    rf"|(?:{_BREAK}*+[A-Z][A-Za-z0-9-]*+:[^\r\n\\]*+)*+(?:[A-Za-z0-9+/=]|{_BREAK})*+)"
+)
 #: Kinds that the rules add to the base.
 ADDED = {
-    "pem": (r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?", 0, 0),
+    "pem": (_PEM, 0, 0),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 0),
     "forge": (r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 0),
     "chat": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0),
-    "userinfo": (r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@[^\s/:@]+", 0, 0),
+    "userinfo": (r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s/:@]++:[^\s/:@]++@[^\s/:@]+", 0, 0),
 }
 #: A text must hold one of these for the kind to be searched: a substring test is far cheaper than the pattern.
 _NEEDED = {"access": "AKIA", "pem": "-----BEGIN", "jwt": "eyJ", "forge": "gh", "chat": "xox", "userinfo": "://"}

@@ -296,6 +296,17 @@ def test_secret_spans_equal_brute_force(spark):
     assert "pem:" in out[8].spans
 
 
+def test_long_secrets_are_covered_whole(spark):
+    body = "Qk1" * 40
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    headers = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B"
+    keys = [f"{head}\n{headers}\n\n{body}\n{end}", f"{head}\\n{body}\\n{body}\\n{end}", f"{head}\n{headers}\n\n{body}\n{body}", f"{head}\\r\\n{body}", f"{head}\n{body}\n{end}"]
+    t = [f"a, {k}." for k in keys] + [f"a, db://{'u' * 90}:{'p!' * 200}@host x.", f"{keys[2]}, then {keys[0]}.", f"{head} is a mark. " * 3]
+    got = {r.doc_id: r.text for r in secret_scan.redacted(docs(spark, t)).collect()}
+    assert [got[i] for i in range(6)] == ["a, [pem]."] * 5 + ["a, [userinfo] x."]
+    assert got[6] == "[pem], then [pem]." and got[7] == "[pem]. " * 3
+
+
 def test_ledger_scans_only_what_is_new(spark, monkeypatch):
     ledger, rules, seen = secret_scan.Ledger(spark), secret_scan.Rules(), []
     real = secret_scan.scan
