@@ -27,16 +27,27 @@ def gate(answer: Column, n_items: Column) -> Column:
     return F.when(n_items == 0, "insufficient").when(cited, "answered").otherwise("rejected_uncited")
 
 
-def quotes(chunks: DataFrame, passages: DataFrame) -> DataFrame:
-    """doc_id, item_id, at: 0-based offset of a normalised passage in a normalised text.
+#: Passages of fewer words meet the texts on their characters: on all of them, or on the first GRAM where there are more.
+INNER, GRAM = 5, 8
+
 
-    Both sides meet on the passage's first three words, so no pair is compared that doesn't share them."""
-    def head(words: Column) -> Column:
-        return F.array_join(F.slice(words, 1, 3), " ")
+def quotes(chunks: DataFrame, passages: DataFrame) -> DataFrame:
+    """doc_id, item_id, at: 0-based offset of a normalised passage of three characters or more in a normalised text.
 
-    p = passages.select("item_id", T.normalize(F.col("text")).alias("q")).where(F.length("q") >= 3)
-    p = p.withColumn("w", T.tokens(F.col("q"))).where(F.size("w") >= 3).select("item_id", "q", head(F.col("w")).alias("head"))
+    The first and the last word of a passage may be parts of the text's words, the words between can't. So both sides
+    meet on the passage's second to fourth word, or on characters where it has too few words."""
+    p = passages.select("item_id", T.normalize(F.col("text")).alias("q")).where(F.length("q") >= 3).withColumn("w", T.tokens(F.col("q")))
     d = chunks.select("doc_id", T.normalize(F.col("text")).alias("n"))
-    grams = d.select("doc_id", F.explode_outer(F.array_distinct(T.let(T.tokens(F.col("n")), lambda w: T.word_runs(w, 3)))).alias("head"))
-    hit = grams.join(p, "head").select("doc_id", "item_id", "q").join(d, "doc_id")
+    long = p.where(F.size("w") >= INNER).select("item_id", "q", F.array_join(F.slice("w", 2, 3), " ").alias("key"))
+    runs = d.select("doc_id", F.explode(F.array_distinct(T.let(T.tokens(F.col("n")), lambda w: T.word_runs(w, 3)))).alias("key"))
+    short = p.where(F.size("w") < INNER).select("item_id", "q", F.substring("q", 1, GRAM).alias("key"))
+    # windows only of the lengths that a passage has; the lookahead takes them all in one pass over the text
+    lengths = short.select(F.length("key").alias("chars")).distinct()
+    windows = F.regexp_extract_all("n", F.concat(F.lit("(?=(.{"), F.col("chars").cast("string"), F.lit("}))")), F.lit(1))
+    grams = d.crossJoin(F.broadcast(lengths)).select("doc_id", F.explode(F.array_distinct(windows)).alias("key"))
+    hit = runs.join(long, "key").unionByName(grams.join(short, "key"))
+    # texts that meet no passage aren't normalised again, others once
+    met = hit.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "q")).alias("met"))
+    hit = met.join(chunks.select("doc_id", "text"), "doc_id").select("doc_id", T.normalize(F.col("text")).alias("n"), "met")
+    hit = hit.select("doc_id", "n", F.inline("met"))
     return hit.withColumn("at", F.instr("n", F.col("q")) - 1).where("at >= 0").select("doc_id", "item_id", "at")

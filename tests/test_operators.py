@@ -63,6 +63,16 @@ def test_answers_must_cite_what_was_found(spark):
     assert [r[0] for r in df.select(rag.gate(F.col("a"), F.col("n"))).collect()] == ["answered", "rejected_uncited", "rejected_uncited", "insufficient"]
 
 
+def test_quotes_of_any_length_and_within_words(spark):
+    texts = ["The old harbour of Bandar Abbas was rebuilt in 1622 by the governor.", "Old harbours", "", None, "abc", "the old the old the old", "x" * 300 + " end"]
+    quotes = ["harbour", "Bandar Abbas", "arbour of Bandar Abbas was reb", "he old har", "our of Ban", "the old harbour", "old", "1622", "rebuilt in 1622 by the governor", "ab", "", None, "abc", "missing word", "e old the o", "xxxxxxxxx end", "d harbour of Band", "é"]
+    schema = "{} long, text string"
+    got = rag.quotes(spark.createDataFrame(list(enumerate(texts)), schema.format("doc_id")), spark.createDataFrame(list(enumerate(quotes)), schema.format("item_id")))
+    plain = [[" ".join((x or "").lower().replace(".", " ").split()) for x in xs] for xs in (texts, quotes)]
+    want = [(i, k, n.find(q)) for i, n in enumerate(plain[0]) for k, q in enumerate(plain[1]) if len(q) >= 3 and q in n]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 15
+
+
 def test_registry_counts(spark, tmp_path):
     p = tmp_path / "r.json"
     p.write_text('{"sources":[{"title":"A","source_type":"book","url":"https://x.org/a","tier":1},{"title":"A","source_type":"book","url":"https://X.org/a/?utm_source=1","tier":1},{"title":"","source_type":"book","url":"https://x.org/b","tier":1},{"title":"C","source_type":"blog","url":"https://x.org/c","tier":1}]}')
