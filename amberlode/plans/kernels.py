@@ -205,8 +205,7 @@ def _(t):
 @query("n26_hash_embedding")
 def _(t):
     """Buckets of hashed word and trigram features, one row per document and bucket."""
-    d = t("documents").select("doc_id", F.substring("text", 1, 400).alias("text"))
-    return P.hash_embedding(d, 512).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
+    return P.hash_embedding(t("documents").select("doc_id", "text"), 512).select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
 @query("n27_l2_normalized", "SELECT vec_id, round(list_reduce(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x), lambda a, b: a + b), 4) AS norm2 FROM embeddings")

@@ -94,7 +94,7 @@ def _(t):
 def _(t):
     """Features of the texts that have no vector yet."""
     missing = t("documents").join(t("embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
-    return P.hash_embedding(missing.select("doc_id", F.substring("text", 1, 200).alias("text"))).groupBy("doc_id").agg(F.count("*").alias("buckets"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("norm2"))
+    return P.hash_embedding(missing.select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("buckets"), F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("norm2"))
 
 
 def _grams(words: str, longest: int) -> str:

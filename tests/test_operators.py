@@ -1,11 +1,16 @@
 """Behaviour of the composed operators on small literal tables."""
 
+import math
+import random
+import zlib
+from collections import Counter
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from amberlode.operators import facts as O
 from amberlode.operators import graph, rag, resolve
+from amberlode.plans import catalog
 from amberlode.sources import tables as X
 from amberlode.streaming import jobs
 
@@ -73,6 +78,26 @@ def test_quotes_of_any_length_and_within_words(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 15
 
 
+def test_embeddings_hold_the_whole_text(spark, tmp_path):
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randrange(900)}" for _ in range(300)) for _ in range(3)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0,)], "vec_id long").write.parquet(str(tmp_path / "embeddings.parquet"))
+    want = {}
+    for i, t in enumerate(texts):
+        sums = Counter()
+        for w in t.split():
+            for f, x in [("w:" + w, 1.0)] + [("c:" + f" {w} "[k : k + 3], 0.35) for k in range(len(w))]:
+                h = zlib.crc32(f.encode())
+                sums[h % 512] += -x if h >= 2**31 else x
+        norm = math.sqrt(sum(x * x for x in sums.values()))
+        want |= {(i, b): x / norm for b, x in sums.items()}
+    got = {(x.doc_id, x.bucket): x.weight for x in catalog.QUERIES["n26_hash_embedding"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+    found = {x.doc_id: x.buckets for x in catalog.QUERIES["v2_embed_missing"](spark, str(tmp_path)).collect()}
+    assert found == {i: sum(k[0] == i for k in want) for i in (1, 2)}
+
+
 def test_registry_counts(spark, tmp_path):
     p = tmp_path / "r.json"
     p.write_text('{"sources":[{"title":"A","source_type":"book","url":"https://x.org/a","tier":1},{"title":"A","source_type":"book","url":"https://X.org/a/?utm_source=1","tier":1},{"title":"","source_type":"book","url":"https://x.org/b","tier":1},{"title":"C","source_type":"blog","url":"https://x.org/c","tier":1}]}')
