@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template head title svg canvas iframe object select textarea button math".split())
+SKIPPED = frozenset("script style noscript template head title svg canvas iframe select textarea button".split())
+#: What may stand in a head; anything else ends one that is still open.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -45,8 +47,10 @@ _WHITE = re.compile(r"\s+")
 class _Page(HTMLParser):
     """Nodes in page order: tag, parent, attribute tokens; runs also have their text, its length and its linked length."""
 
-    def __init__(self, html: str) -> None:
+    def __init__(self, html: str, unclosed: frozenset = frozenset()) -> None:
+        """`unclosed`: which of the skipped elements, by their place among these, have no end tag of their own."""
         super().__init__(convert_charrefs=True)
+        self.unclosed, self.started, self.skipped, self.left = unclosed, 0, [], set()
         self.tag, self.parent, self.tokens, self.text, self.linked = ["#root"], [-1], [frozenset()], [""], [0]
         self.open: list[tuple[str, int]] = [("#root", 0)]  # tag, node that its text belongs to
         self.counts: dict[str, int] = {}
@@ -55,6 +59,7 @@ class _Page(HTMLParser):
         self.feed(html)
         self.close()
         self._flush()
+        self.left.update(self.skipped)
 
     def _flush(self) -> None:
         text = _WHITE.sub(" ", "".join(self.run)).strip()
@@ -73,13 +78,29 @@ class _Page(HTMLParser):
             self._flush()
         self.counts[tag] -= 1
         self.open.pop()
+        if tag in SKIPPED and tag != "head":
+            self.left.add(self.skipped.pop())
+
+    def _leave_head(self, tag: str) -> None:
+        """Ends an open head at what can't stand in it; a body ends whatever is open in it too."""
+        if self.counts.get("head") and tag not in _IN_HEAD and (tag == "body" or not self._within()):
+            while self.counts["head"]:
+                self._pop()
+
+    def _within(self) -> bool:
+        """Whether a skipped element other than head is open."""
+        return any(self.counts.get(x) for x in SKIPPED if x != "head")
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._leave_head(tag)
         if tag == "br":
             self.run.append(" ")
             return
         if tag in VOID and tag != "hr":
             return
+        if self.unclosed and (tag in BLOCKS or self.counts.get(tag) and tag in SKIPPED):  # one without an end tag holds no block, nor its like
+            while self.unclosed.intersection(self.skipped):
+                self._pop()
         if tag in BLOCKS:
             if self.counts.get("p"):  # a block ends an open paragraph
                 k = len(self.open) - 1
@@ -106,6 +127,9 @@ class _Page(HTMLParser):
             node = self.open[-1][1]
         self.open.append((tag, node))
         self.counts[tag] = self.counts.get(tag, 0) + 1
+        if tag in SKIPPED and tag != "head":
+            self.skipped.append(self.started)
+            self.started += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -117,7 +141,7 @@ class _Page(HTMLParser):
             self._flush()
         if not self.counts.get(tag):
             return
-        if tag not in BLOCKS:  # an inline end tag doesn't reach through a block
+        if tag not in BLOCKS and tag not in SKIPPED:  # an inline end tag doesn't reach through a block
             k = len(self.open) - 1
             while self.open[k][0] not in BLOCKS and self.open[k][0] != tag and k:
                 k -= 1
@@ -125,9 +149,13 @@ class _Page(HTMLParser):
                 return
         while self.open[-1][0] != tag:
             self._pop()
+        own = self.skipped[-1] if tag in SKIPPED and tag != "head" else None
         self._pop()
+        self.left.discard(own)
 
     def handle_data(self, data: str) -> None:
+        if not data.isspace():
+            self._leave_head("#text")
         if any(self.counts.get(x) for x in SKIPPED):
             return
         self.run.append(data)
@@ -352,8 +380,14 @@ def trained(pages: int = 500, seed: int = 1) -> Trees:
     return Trees().fit(np.concatenate(xs), np.concatenate(ys))
 
 
+def _parsed(html: str) -> _Page:
+    """The page; where skipped elements had no end tag, parsed once more with that known."""
+    page = _Page(html)
+    return _Page(html, frozenset(page.left)) if page.left else page
+
+
 def main_text(html: list[str | None], trees: Trees) -> list[str]:
-    return _extract([_Page(h or "") for h in html], trees)
+    return _extract([_parsed(h or "") for h in html], trees)
 
 
 def main_texts(pages: DataFrame, trees: Trees | None = None) -> DataFrame:

@@ -278,6 +278,20 @@ def test_repaired_markup():
     assert [t for t in page.text if t] == ["a", "b & c", "xy", "z w", "1", "2", "tail"]
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<html><head><title>t</title><meta charset=x><body><p>a<p>b", ["a", "b"]),
+    ("<head><title>t</title><style>p{}</style><p>a</p>b", ["a", "b"]),
+    ("<head><noscript><div>no</div></noscript><title>t</title>a <b>b</b>", ["a b"]),
+    ("<head><title>t</title></head><body><p>a</p></body>", ["a"]),
+    ("<div>a<svg><path>x<p>b</p>c<button>y<div>d</div></div>e", ["a", "b", "c", "d", "e"]),
+    ("<div><button>x<div>y</div></button>a<svg><text>z</text></svg>b</div>", ["ab"]),
+    ("<div><button>x<button>y</button> a</div>", ["a"]),
+    ("<article>let <math><mi>x</mi></math> be <object data=o>a picture</object></article>", ["let x be a picture"]),
+])
+def test_open_and_skipped_elements(page, want):
+    assert [t for t in html_main._parsed(page).text if t] == want
+
+
 SECRETS = ['token = "abcdefgh12345678"', "PassWord:short x", "AKIA" + "A1" * 8 + " AKIAX", "z" + "0af9" * 10 + "g", "secret=secret=tok", None, "", "api-key: nope", "-----BEGIN RSA PRIVATE KEY-----\nabc\n-----END RSA PRIVATE KEY-----", "é🙂 apikey='0123456789abcdef0123456789abcdef'"]
 
 
