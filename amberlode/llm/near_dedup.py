@@ -209,10 +209,10 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
 
 def equal_values(one: np.ndarray, many: np.ndarray, p: Params) -> np.ndarray:
     """Equal packed values of signature `one` and each row of `many`, by bit counts."""
-    differ = np.zeros((len(many), p.planes), np.int64)
+    differ = np.zeros((len(many), p.planes), np.uint64)  # signed longs would have the bits of their absolute values counted
     for j in range(p.bits):
         at = slice(j * p.planes, (j + 1) * p.planes)
-        differ |= one[None, at] ^ many[:, at]
+        differ |= (one[None, at] ^ many[:, at]).view(np.uint64)
     return p.hashes - np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
 
 

@@ -44,26 +44,39 @@ def texts():
     return out
 
 
-def test_near_duplicates_equal_brute_force(spark, texts):
-    p = near_dedup.Params(shingle=3, percent=85)
+def plain_components(texts, n=3, percent=85):
+    """doc_id, set size, component, kept of the texts by id; by counting the shingles that pairs share."""
+    sets, holders, common = {}, defaultdict(list), Counter()
+    for i in sorted(texts):
+        w = [x.encode().lower().decode() for x in re.findall(r"[^\x20\x09-\x0D]+", texts[i] or "")]
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())
+        for g in sets[i]:
+            common.update((j, i) for j in holders[g])
+            holders[g].append(i)
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
 
-    def sets(t):
-        w = [x.encode().lower().decode() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
-        return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set())
+    for (i, j), k in common.items():
+        if 100 * k >= percent * (len(sets[i]) + len(sets[j]) - k):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return sorted((i, len(x), find(i), find(i) == i) for i, x in sets.items())
 
-    s = [sets(t) for t in texts]
-    root = list(range(len(s)))
 
-    def find(i):
-        return i if root[i] == i else find(root[i])
+def test_near_duplicates_equal_brute_force(spark, texts):
+    got = near_dedup.near_duplicates(docs(spark, texts), near_dedup.Params(shingle=3, percent=85))
+    assert sorted(map(tuple, got.collect())) == plain_components(dict(enumerate(texts)))
+
 
-    for i in range(len(s)):
-        for j in range(i):
-            if s[i] and s[j] and 100 * len(s[i] & s[j]) >= 85 * len(s[i] | s[j]):
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    want = sorted((i, len(x), find(i), find(i) == i) for i, x in enumerate(s))
-    assert sorted(map(tuple, near_dedup.near_duplicates(docs(spark, texts), p).collect())) == want
+def test_near_duplicates_of_a_whole_table_equal_brute_force(spark):
+    """Every link of the generated documents, those just above the threshold included."""
+    rows = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    got = Q.QUERIES["op1_minhash_near_dedup"](spark, "/root/testdata/sf0.01")
+    assert sorted(map(tuple, got.collect())) == plain_components(rows)
 
 
 def test_near_duplicates_in_blocks_and_without_ids(spark):
@@ -89,6 +102,16 @@ def test_similarity_estimate_is_close():
     assert near_dedup.equal_values(packed[0], packed[0][None], p)[0] == p.hashes
 
 
+def test_equal_values_are_counted_exactly():
+    """Over random pairs and every bit, the sign bit of a plane included."""
+    p, r = near_dedup.Params(), np.random.default_rng(3)
+    low = r.integers(0, 1 << p.bits, (400, p.hashes), dtype=np.uint32)
+    low[1::2] = np.where(r.random((200, p.hashes)) < r.random((200, 1)), low[::2], low[1::2])
+    packed = np.stack([near_dedup.pack(x, p.bits, p.planes) for x in low])
+    for i in range(0, 400, 7):
+        assert near_dedup.equal_values(packed[i], packed, p).tolist() == (low == low[i]).sum(axis=1).tolist()
+
+
 def test_packing_keeps_every_token(spark):
     r = random.Random(2)
     lengths = [r.randint(0, 3000) for _ in range(300)] + [4096, 8192, 10_000, 0, 1]
