@@ -17,9 +17,12 @@ SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`. Only a local master, whose executors are the
+    driver itself, gets one of our own where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         found = "file://" + tempfile.mkdtemp(prefix="amberlode-", dir="/tmp/checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -47,6 +50,33 @@ def remove(spark: SparkSession, df_or_path: DataFrame | str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def boxed(docs: DataFrame, *more: Column) -> DataFrame:
+    """The columns of `docs` as one struct, `row`, and the columns `more` beside it, so that no name of a user's column can
+    clash with one of an operator's."""
+    return docs.select(F.struct(*[docs["`{}`".format(c.replace("`", "``"))].alias(c) for c in docs.columns]).alias("row"), *more)
+
+
+def unboxed(columns: list[str], **instead: Column) -> list[Column]:
+    """The columns of a boxed row again, those in `instead` replaced."""
+    return [instead.get(c, F.col("row").getField(c)).alias(c) for c in columns]
+
+
+#: Keys that hold more than one row in so many are fewer than this, whatever the table: what they carry can be broadcast.
+HEAVY_SHARE = 10_000
+
+
+def with_keys(rows: DataFrame, found: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """`rows` joined with `found`, which has one row per key and in `weight` a number no larger than the key's rows.
+
+    A key of more than one `HEAVY_SHARE`-th of all rows is met by broadcast - there are fewer than `HEAVY_SHARE` such keys -
+    and its rows stay where they are; the others meet by a merge join in which no key is crowded."""
+    least = max(1, rows.count() // HEAVY_SHARE)
+    heavy, light = (found.where(x).drop(weight) for x in (F.col(weight) > least, F.col(weight) <= least))
+    met = rows.join(F.broadcast(heavy), keys)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light.hint("merge"), keys)
+    return met.unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

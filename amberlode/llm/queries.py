@@ -101,12 +101,10 @@ WITH w AS (
 ), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b
 ), l AS (
   SELECT DISTINCT doc_id, source, text, unnest(list_filter(list_transform(ls, lambda x: lower(regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'))), lambda x: length(x) >= 20)) AS k FROM w
-), n AS (SELECT source, k, count(DISTINCT text) AS n, arg_min(text, doc_id) AS holder FROM l GROUP BY ALL
-), h AS (SELECT source, count(DISTINCT text) AS texts FROM documents GROUP BY ALL
-), lim AS (SELECT n.source, k, holder FROM n JOIN h ON h.source = n.source WHERE n > 20 AND 100 * n > 5 * texts
+), lim AS (SELECT source, k, count(DISTINCT doc_id) AS n, arg_min(text, doc_id) AS holder FROM l GROUP BY ALL HAVING count(DISTINCT doc_id) > 20
 ), lost AS (
   SELECT l.doc_id, l.text, sum(CASE WHEN lim.k IS NOT NULL AND lim.holder <> l.text THEN length(l.k) ELSE 0 END) AS gone, sum(length(l.k)) AS total
-  FROM l LEFT JOIN lim ON lim.source = l.source AND lim.k = l.k GROUP BY ALL
+  FROM l LEFT JOIN lim ON lim.source IS NOT DISTINCT FROM l.source AND lim.k = l.k GROUP BY ALL
 )
 SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(100 * gone > 70 * total, false) AS kept
 FROM f LEFT JOIN lost ON lost.doc_id = f.doc_id AND lost.text = f.text
