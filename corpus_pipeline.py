@@ -23,8 +23,8 @@ def _resized(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go, and texts lose their boilerplate lines; the limit of a line doesn't grow with its host."""
-    return _resized(quality.passing(docs, quality.Params(percent=0)))
+    """Rejected documents go, and texts lose their boilerplate lines."""
+    return _resized(quality.passing(docs))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
