@@ -84,7 +84,7 @@ _KEY = ["doc_id", "source", "a", "b"]
 def lost_lines(rules: DataFrame, p: Params) -> DataFrame:
     """doc_id, source, a, b, depleted and lost (hashes of the boilerplate lines) of the documents that lose any; `rules` as from `base_rules`."""
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + x["chars"])
-    lines = rules.where(F.size("lines") > 0).select(*_KEY, total.alias("total"), F.explode("lines").alias("x")).select(*_KEY, "total", "x.*")
+    lines = rules.where(F.size("lines") > 0).select(*_KEY, total.alias("total"), "lines").select(*_KEY, "total", F.explode("lines").alias("x")).select(*_KEY, "total", "x.*")
     # a document counts once per line, and a common line is counted by parts before its parts meet
     per_doc = lines.groupBy("h1", "h2", "doc_id").agg(F.min(F.struct("a", "b")).alias("t"))
     holder = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("holder")

@@ -288,18 +288,52 @@ def test_line_dedup_equals_brute_force(spark):
         kept = [y for y in lines if not (len(holders[key(y)]) >= 3 and i < max(holders[key(y)]))]
         want.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     want.append((None, 1, 0, hashlib.sha256(long.encode()).hexdigest()))
-    got = [tuple(r) for r in line_dedup.line_digests(df, line_dedup.Params(batches=3, fanout=2)).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
+    for p in (line_dedup.Params(), line_dedup.Params(batches=3, fanout=2), line_dedup.Params(batches=1)):
+        got = [tuple(r) for r in line_dedup.line_digests(df, p).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
     assert line_dedup.line_digests(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_of_very_long_texts_and_clashing_columns(spark):
+    lines = [f"line number {i % 60_000} of a very long text" for i in range(120_000)]
+    t = ["\n".join(lines), "\n".join(lines[:10]), "\n".join(lines[5:15]), "x"]
+    got = {r.doc_id: r for r in line_dedup.cleaned(clashing(spark, t)).collect()}
+    assert got[0].text == "\n".join(x for x in lines if x not in lines[5:10])
+    assert [got[i].text for i in (1, 2, 3)] == ["\n".join(lines[:5]), t[2], "x"]
+    assert all(r[c] == (f"{c} {i}" if c != "h" else "clash") for i, r in got.items() for c in CLASH if c not in SCHEMA)
+    assert line_dedup.cleaned(clashing(spark, [])).columns == clashing(spark, []).columns
+
+
 def test_line_runs_compact_and_find_what_is_new(spark):
-    runs = line_dedup.LineRuns(spark, 2)
-    for k in range(5):
-        runs.add(spark.createDataFrame([(k, k, 0), (k, 99, 0)], "doc_id long, h1 long, h2 long"))
-    assert [len(x) for x in runs.levels] == [1, 0, 1]
-    assert {r.h1: (r.n_docs, r.last_doc) for r in runs.all().collect()}[99] == (5, 4)
-    assert [r.h1 for r in runs.unseen(spark.createDataFrame([(9, 3, 0), (9, 77, 0)], "doc_id long, h1 long, h2 long")).collect()] == [77]
+    """More batches than fanout squared: runs of three levels, no hash in two of them, and counts of all."""
+    runs = line_dedup.LineRuns(spark, 2, 3)
+    want = defaultdict(list)
+    for k in range(7):
+        rows = [(10 * k, k, 0), (10 * k, 99, 0), (10 * k + 1, 99, 0), (10 * k + 1, 99, 0), (10 * k, k // 3, 5)]
+        for d, *h in set(rows):
+            want[tuple(h)].append(d)
+        runs.add(spark.createDataFrame(rows, "doc_id long, h1 long, h2 long"))
+    assert [len(x) for x in runs.levels] == [1, 1, 1]
+    held = [(r.h1, r.h2) for run in runs._runs(runs.levels) for r in run.collect()]
+    assert len(held) == len(set(held)) == len(want)
+    with line_dedup._planning(spark):
+        counted = sorted(map(tuple, runs.all().collect()))
+    assert counted == sorted((*h, len(d), max(d)) for h, d in want.items())
+    batch = spark.createDataFrame([(9, 3, 0), (9, 77, 0)], "doc_id long, h1 long, h2 long")
+    assert [r.h1 for r in runs.unseen(batch).collect()] == [77]
+    runs.drop()
+    assert not runs.made
+
+
+def test_runs_meet_without_being_moved_or_sorted_again(spark):
+    runs = line_dedup.LineRuns(spark, 4, 3)
+    for k in range(3):
+        runs.add(spark.range(500).selectExpr(f"id + {1000 * k} AS doc_id", f"id % 70 + {10 * k} AS h1", "id % 70 AS h2"))
+    with line_dedup._planning(spark):
+        for df in (runs.unseen(spark.table(runs.levels[0][0])), spark.table(runs.levels[0][0]).join(spark.table(runs.repeats[0][0]).hint("merge"), ["h1", "h2"])):
+            plan = df._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    runs.drop()
 
 
 def test_main_text_of_held_out_pages(spark):
