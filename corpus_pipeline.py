@@ -29,8 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose their crowded lines."""
-    out = line_dedup.deduplicated(docs)
-    return _resized(out.select(*[F.col("kept_text").alias("text") if c == "text" else F.col(c) for c in docs.columns]))
+    return _resized(line_dedup.cleaned(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
