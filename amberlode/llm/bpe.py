@@ -23,6 +23,9 @@ from tokenizers import Tokenizer
 
 #: Distinct words whose counts one Python worker remembers, and the longest remembered word.
 CACHED_WORDS, CACHED_LENGTH = 1_000_000, 64
+#: From here on, in planes that are all but unassigned, the two regular-expression libraries differ on a few characters'
+#: classes; chunks that reach it are split by the tokenizer's own.
+RARE = "\U00030000"
 
 
 @lru_cache(maxsize=1)
@@ -105,7 +108,12 @@ class MergeCounter:
             parts = self.special.split(chunk)
             return len(parts) - 1 + sum(self._chunk(x) for x in parts if x)
         text = chunk.lower() if self.plain_ascii and chunk.isascii() else self.normalize(chunk)
-        found = (text,) if text.isascii() and text.isalpha() else self.split.findall(text)
+        if text.isascii():
+            found = (text,) if text.isalpha() else self.split.findall(text)
+        elif max(text) >= RARE:
+            found = [text[i:j] for _, (i, j) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        else:
+            found = self.split.findall(text)
         total = 0
         for word in found:
             n = self.words.get(word)

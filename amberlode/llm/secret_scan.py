@@ -5,7 +5,8 @@ not seen under a rule version are scanned, once each however many paths hold the
 pairs (blob, rule version) join the ledger, and findings are joined back to all paths.
 
 Defined results: null and empty text have no findings; rows without doc_id are scanned like others; repeated rows
-each get the blob's findings; extra columns are ignored. Offsets are code points, ends exclusive.
+each get the blob's findings; other columns pass through where rows are returned, whatever their names. Offsets are
+code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from amberlode.llm.common import durable, scratch
+from amberlode.llm.common import boxed, durable, scratch, unboxed
 
 #: Base kinds in their fixed order: pattern, group that is measured, least length.
 BASE = {
-    "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    "assign": (r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
     "access": (r"AKIA[A-Z0-9]+", 0, 16),
     "hex": (r"[0-9a-f]+", 0, 32),
 }
@@ -134,12 +137,16 @@ def spans_text(spans, kinds: list[str] | None = None):
     return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def findings_of(docs: DataFrame, rules: Rules = Rules(), ledger: Ledger | None = None) -> DataFrame:
-    """`docs` with column spans: the findings of each row's text (an empty array if none)."""
+def _with_findings(docs: DataFrame, rules: Rules, ledger: Ledger | None) -> DataFrame:
+    """row (the columns of `docs`) and spans: the findings of each row's text (an empty array if none)."""
     found = (ledger or Ledger(docs.sparkSession)).update(docs, rules)
-    found = found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return keyed.join(found, F.col("_key") == F.col("_blob"), "left").withColumn("spans", F.coalesce("_spans", F.array().cast(_SPAN))).drop("_key", "_blob", "_spans")
+    keyed = boxed(docs, F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
+    return keyed.join(found, F.col("key") == F.col("blob"), "left").select("row", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
+
+
+def findings_of(docs: DataFrame, rules: Rules = Rules(), ledger: Ledger | None = None) -> DataFrame:
+    """`docs` with column spans, which takes the place of one of this name."""
+    return _with_findings(docs, rules, ledger).select(*unboxed([c for c in docs.columns if c != "spans"]), "spans")
 
 
 def _count(kind: str):
@@ -153,16 +160,23 @@ def scan_digests(docs: DataFrame, rules: Rules = Rules(), ledger: Ledger | None
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), *count, F.sha2(spans_text(F.col("spans"), list(BASE)), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
+def without(text: str, spans: list) -> str:
+    """The text with every span replaced by [kind]; overlapping spans as one, under the first one's kind."""
+    out, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            out += [text[at : s["start"]], f"[{s['kind']}]"]
+        at = max(at, s["end"])
+    return "".join(out) + text[at:]
+
+
+@F.pandas_udf(StringType())
+def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else without(t, s) for t, s in zip(text, spans)], dtype=object)
+
+
 def redacted(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """`docs` with every found span replaced by [kind]; overlapping spans are replaced as one, under the first one's kind."""
-    found = findings_of(docs, rules)
-
-    def piece(state, s):
-        gap = F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"])
-        overlaps = s["start"] < state["at"]
-        out = F.when(overlaps, state["out"]).otherwise(F.concat(state["out"], gap, F.lit("["), s["kind"], F.lit("]")))
-        return F.struct(out.alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    scrubbed = F.aggregate("spans", start, piece, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(scrubbed)).drop("spans")
+    """`docs` with every found span replaced by [kind]; texts without findings stay in the JVM."""
+    found, text = F.size("spans") > 0, F.col("row.text")
+    scrubbed = _without(F.when(found, text), F.when(found, F.col("spans")))
+    return _with_findings(docs, rules, None).select(*unboxed(docs.columns, text=F.when(found, scrubbed).otherwise(text)))
