@@ -1,13 +1,16 @@
 """Variable-capacity best-fit packing of token sequences.
 
 Documents are dealt by a hash of their id to shards of bounded size; each shard is packed on its own, longest
-pieces first. A piece goes to the open bin that it leaves the least room in. If none takes it, the cheapest bin size
-is opened: the size whose cost, shared over what the shard's remaining lengths suggest will fill it, is least. At
-the end every bin shrinks to the smallest permitted size that holds its contents. A document longer than the
-largest size is cut into pieces of that size and a rest; no token is dropped.
-
-Defined results: null and empty text have no tokens and no row in a bin (bin_id null, n_tokens 0); repeated rows are
-packed one by one; rows without doc_id are packed like others; extra columns are ignored.
+pieces first. A piece goes to the open bin that it leaves the least room in. If none takes it, a bin of the least-cost
+size is opened: for every permitted size, the room beside the piece is planned with the lengths that are still to come,
+the longest that fits first, and the cost of a sequence of that size is shared over the tokens that it would hold.
+A sequence costs its tokens, a fixed overhead, and what attention adds with the square of its length; so long sizes
+spread the overhead, short ones save attention, and either wins where the lengths at hand fill it. At the end every
+bin shrinks to the smallest permitted size that holds its contents. A document longer than the largest size is cut into
+pieces of that size and a rest; no token is dropped.
+
+Defined results: null and empty text have no tokens and no row in a bin (bin_id null, n_tokens 0); a null n_tokens
+counts as 0; repeated rows are packed one by one; rows without doc_id are packed like others; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,12 +26,17 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Params:
-    """`sizes`: permitted sequence lengths, ascending. A bin costs its size plus `overhead` tokens. `shard_docs`: documents a shard is planned for."""
+    """`sizes`: permitted sequence lengths, ascending. A sequence of length s costs s + `overhead` + s * s / `square`.
+    `shard_docs`: documents a shard is planned for."""
 
     sizes: tuple[int, ...] = (512, 1024, 2048, 4096)
     overhead: int = 16
+    square: int = 65_536
     shard_docs: int = 20_000
 
+    def cost(self, size: int) -> float:
+        return size + self.overhead + size * size / self.square
+
 
 class _Open:
     """Open bins by room, for the tightest one that takes a piece."""
@@ -45,13 +53,49 @@ class _Open:
             bisect.insort(self.rooms, (room, index))
 
 
-def _cheapest(n: int, left: int, p: Params) -> int:
-    """The bin size to open for a piece of `n` tokens when `left` tokens of shorter pieces follow.
-
-    A bin is expected to be filled by what is left, so its cost is shared over min(size, n + left) tokens; a smaller
-    size wins a tie. Sizes below n can't hold it."""
-    fits = [s for s in p.sizes if s >= n]
-    return min(fits, key=lambda s: ((s + p.overhead) / min(s, n + left), s))
+class _Ahead:
+    """How many pieces of each length are still to come, and the longest such length up to a given one."""
+
+    def __init__(self, lengths: list[int], largest: int) -> None:
+        self.count = [0] * (largest + 1)
+        for n in lengths:
+            self.count[n] += 1
+        #: A length points to itself while pieces of it are left, else to a shorter one.
+        self.down = [n if self.count[n] else max(0, n - 1) for n in range(largest + 1)]
+
+    def remove(self, n: int) -> None:
+        self.count[n] -= 1
+        if not self.count[n]:
+            self.down[n] = n - 1
+
+    def longest(self, n: int) -> int:
+        """0 if there is none."""
+        top = n
+        while self.down[top] != top:
+            top = self.down[top]
+        while self.down[n] != top and n != top:  # later searches go the short way
+            self.down[n], n = top, self.down[n]
+        return top
+
+    def fill(self, room: int) -> int:
+        """Tokens that would go into `room` if always the longest fitting piece went first."""
+        free, n = room, self.longest(room)
+        while n:
+            free -= n * min(self.count[n], free // n)
+            n = self.longest(min(free, n - 1))
+        return room - free
+
+
+def cheapest(n: int, ahead: _Ahead, p: Params) -> int:
+    """The bin size to open for a piece of `n` tokens: the one of least cost a token, as planned with the pieces `ahead`.
+    A bin that would stay emptier costs what it will shrink to; of equal costs the larger size wins, as it leaves more open."""
+    best, least = 0, float("inf")
+    for size in p.sizes[bisect.bisect_left(p.sizes, n) :]:
+        held = n + ahead.fill(size - n)
+        cost = p.cost(p.sizes[bisect.bisect_left(p.sizes, held)]) / held
+        if cost <= least:
+            best, least = size, cost
+    return best
 
 
 def pack(lengths: list[int], p: Params) -> tuple[list[tuple[int, int, int, int]], list[int]]:
@@ -62,15 +106,14 @@ def pack(lengths: list[int], p: Params) -> tuple[list[tuple[int, int, int, int]]
         if n % largest:
             pieces.append((n % largest, item, n - n % largest))
     pieces.sort(key=lambda x: (-x[0], x[1], x[2]))
-    left = sum(x[0] for x in pieces)
-    open_bins, used, capacity, out = _Open(), [], [], []
+    ahead = _Ahead([x[0] for x in pieces], largest)
+    open_bins, used, out = _Open(), [], []
     for n, item, at in pieces:
-        left -= n
+        ahead.remove(n)
         room, k = open_bins.take(n) or (None, len(used))
         if room is None:
-            room = _cheapest(n, left, p)
+            room = cheapest(n, ahead, p)
             used.append(0)
-            capacity.append(room)
         out.append((item, at, k, used[k]))
         used[k] += n
         open_bins.put(room - n, k)

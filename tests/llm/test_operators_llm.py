@@ -134,9 +134,75 @@ def test_packing_keeps_every_token(spark):
     assert packing.packed(df.limit(0), p).count() == 0
 
 
-def test_best_fit_takes_the_tightest_bin():
-    placed, sizes = packing.pack([60, 50, 40, 45], packing.Params(sizes=(100,), overhead=1))
-    assert {i: b for i, _, b, _ in placed} == {0: 0, 2: 0, 1: 1, 3: 1} and sizes == [100, 100]
+def plain_packing(lengths, p):
+    """The packing rule by searching lists: sizes and contents of the bins."""
+    top = p.sizes[-1]
+    pieces = sorted((x for n in lengths for x in [top] * (n // top) + [n % top] if x), reverse=True)
+    bins = []
+    for k, n in enumerate(pieces):
+        fit = [b for b in bins if b[0] - sum(b[1]) >= n]
+        if fit:
+            min(fit, key=lambda b: b[0] - sum(b[1]))[1].append(n)
+            continue
+        shared = {}
+        for s in p.sizes:
+            if s >= n:
+                free = s - n
+                for x in pieces[k + 1 :]:
+                    free -= x if x <= free else 0
+                held = s - free
+                shared[s] = p.cost(min(y for y in p.sizes if y >= held)) / held
+        bins.append((max(s for s in shared if shared[s] == min(shared.values())), [n]))
+    return sorted((min(s for s in p.sizes if s >= sum(c)), sorted(c)) for _, c in bins)
+
+
+def least_cost(pieces, p):
+    """The least cost of any packing of a few pieces."""
+    if not pieces:
+        return 0.0
+    best, rest = float("inf"), pieces[1:]
+    for mask in range(1 << len(rest)):
+        with_it = [x for i, x in enumerate(rest) if mask >> i & 1]
+        n = pieces[0] + sum(with_it)
+        if n <= p.sizes[-1]:
+            best = min(best, p.cost(min(s for s in p.sizes if s >= n)) + least_cost([x for i, x in enumerate(rest) if not mask >> i & 1], p))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_packing_equals_the_plain_rule_and_is_near_the_least_cost(seed):
+    r = random.Random(seed)
+    p = packing.Params(sizes=(8, 16, 32, 64), overhead=2, square=200)
+    lengths = [r.choice([r.randint(1, 64), r.randint(1, 12), 0, r.randint(60, 200)]) for _ in range(r.choice([3, 20, 150]))]
+    placed, sizes = packing.pack(lengths, p)
+    bins = defaultdict(list)
+    for item, at, k, _ in placed:
+        bins[k].append(min(64, lengths[item] - at))
+    assert sorted((sizes[k], sorted(c)) for k, c in bins.items()) == plain_packing(lengths, p)
+    few = [r.randint(1, 40) for _ in range(7)]
+    assert sum(map(p.cost, packing.pack(few, p)[1])) <= 1.25 * least_cost(few, p)
+
+
+def test_several_sizes_are_opened_and_none_is_always_best():
+    """Against every single size and pair of sizes, bins shrunk alike, the joint choice costs least."""
+    r = random.Random(3)
+    lengths = [int(r.lognormvariate(5.8, 1.2)) + 1 for _ in range(3000)]
+    p = packing.Params()
+    placed, sizes = packing.pack(lengths, p)
+    assert min(Counter(sizes)[s] for s in (1024, 2048, 4096)) > 20
+    cost = sum(map(p.cost, sizes))
+    for some in [(4096,), (512, 4096), (1024, 4096), (2048, 4096)]:
+        fills = Counter()
+        for item, at, k, _ in packing.pack(lengths, packing.Params(sizes=some))[0]:
+            fills[k] += min(4096, lengths[item] - at)
+        assert cost <= sum(p.cost(min(s for s in p.sizes if s >= n)) for n in fills.values())
+
+
+def test_packing_of_nulls_repeated_rows_and_empty_shards(spark):
+    df = spark.createDataFrame([(1, None), (1, 5), (1, 5), (None, 7), (None, None), (2, 0)], "doc_id long, n_tokens long")
+    out = packing.packed(df).collect()
+    assert sorted((x.doc_id or 0, x.n_tokens, x.bin_id is None) for x in out) == [(0, 0, True), (0, 7, False), (1, 0, True), (1, 5, False), (1, 5, False), (2, 0, True)]
+    assert {x.bin_start for x in out if x.bin_id} == {0, 7, 12} and {x.bin_size for x in out if x.bin_id} == {512}
 
 
 #: Characters whose class the library's regular expressions and others take differently, and their neighbours.
