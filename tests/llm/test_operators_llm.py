@@ -236,6 +236,18 @@ def test_license_windows_find_shifted_and_edited_templates(spark):
     assert len(got) == 4 and all(0.8 <= r.containment < 1 for r in got)
 
 
+def test_whole_licenses_in_very_long_texts(spark):
+    r = random.Random(1)
+    full = {k: v for k, v in license_scan.TEMPLATES.items() if k.endswith("-full")}
+    t = [" ".join(words(r, 40_000)) + "\n" + v.upper() + " " + " ".join(words(r, 9)) for v in full.values()]
+    got = defaultdict(dict)
+    for x in license_scan.licenses(docs(spark, t)).collect():
+        got[x.doc_id][x.license] = x.containment
+    assert all(got[i][k] == 1.0 and {y for y in got[i] if y.endswith("-full")} == {k} for i, k in enumerate(full))
+    with pytest.raises(ValueError):
+        license_scan.licenses(docs(spark, t), license_scan.Params(most_chars=10))
+
+
 def test_quality_counts_equal_brute_force(spark, texts):
     r = random.Random(3)
     every = texts + ["a b c d a b c d a b c", "x y z x y z " * 30, "l1 l1\nl1 l1\n\n \n l1 l1 #$", "% & | < >", "\n".join(" ".join(words(r, 8)) for _ in range(9))]
