@@ -25,11 +25,11 @@ def haversine_km(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Colu
 
 
 def jaro_winkler_score(a: str, b: str) -> float:
-    """On code points; the common prefix of up to four always boosts, by a tenth each."""
-    if a == b:
-        return 1.0
+    """On code points; 0 if either is empty; the common prefix of up to four always boosts, by a tenth each."""
     if not a or not b:
         return 0.0
+    if a == b:
+        return 1.0
     reach = max(0, max(len(a), len(b)) // 2 - 1)
     free = [True] * len(b)
     left, right_at = [], []

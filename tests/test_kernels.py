@@ -45,9 +45,31 @@ def test_similarity(spark):
 
 @settings(max_examples=100)
 @given(st.text(max_size=12), st.text(max_size=12))
-def test_jaro_winkler_is_symmetric_in_range(a, b):
+def test_jaro_winkler_is_in_range(a, b):
     x = S.jaro_winkler_score(a, b)
-    assert 0 <= x <= 1 + 1e-9 and (x == 1.0) >= (a == b)
+    assert 0 <= x <= 1 + 1e-9 and (x == 1.0) >= (a == b != "")
+
+
+def test_jaro_winkler_of_known_pairs():
+    """Published values, and names that are empty."""
+    known = {("martha", "marhta"): 0.9611, ("dixon", "dicksonx"): 0.8133, ("dwayne", "duane"): 0.84, ("crate", "trace"): 0.7333, ("abc", "xyz"): 0.0, ("", ""): 0.0, ("", "a"): 0.0, ("ab", "ab"): 1.0}
+    assert {k: round(S.jaro_winkler_score(*k), 4) for k in known} == known
+
+
+def test_name_similarity_is_the_stronger_measure(spark):
+    pairs = [("", ""), ("", "abc"), ("martha", "marhta"), ("abcdefgh", "abcdefgx"), ("ab", "abx"), ("minab", "minab")]
+    got = [round(r[0], 4) for r in spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string").orderBy("i").select(S.name_similarity(F.col("a"), F.col("b"))).collect()]
+
+    def grams(x):
+        p = f"  {x} "
+        return {p[i : i + 3] for i in range(len(p) - 2)} if x else set()
+
+    want = []
+    for a, b in pairs:
+        x, y = grams(a), grams(b)
+        s = max(0.95 * S.jaro_winkler_score(a, b), 2 * len(x & y) / (len(x) + len(y)) if x and y else 0.0)
+        want.append(1.0 if a == b else round(s * (0.85 if min(len(a), len(b)) < 4 else 1), 4))
+    assert got == want
 
 
 def test_haversine(spark):
@@ -75,11 +97,28 @@ def test_robots_longest_match_wins(spark):
     assert got == {1: False, 2: True, 3: True}
 
 
-def test_chunks_overlap_and_stay_bounded():
+def chunked(spark, text, size, overlap):
+    return [tuple(c) for c in spark.createDataFrame([(text,)], "text string").select(P.split_chunks(F.col("text"), size, overlap)).first()[0]]
+
+
+def test_chunks_overlap_and_stay_bounded(spark):
     pages = "A sentence of some length. " * 20 + "\f" + "Second page has enough text to stay."
-    out = P.split_chunks(pages, 200, 20)
+    out = chunked(spark, pages, 200, 20)
     assert len(out) > 1 and out[-1][0] == 2 and all(len(c) <= 260 for _, c in out)
-    assert P.split_chunks("short", 200, 20) == [] == P.split_chunks(None, 200, 20)
+    assert chunked(spark, "short", 200, 20) == [] == chunked(spark, None, 200, 20)
+
+
+def test_chunks_of_paragraphs_and_long_paragraphs(spark):
+    a, b, c = "a" * 60, "b" * 30, "0123456789" * 25
+    two = [(1, f"{a}\n\n"), (1, f"{'a' * 8}\n\n\n\n{b}")]
+    assert chunked(spark, f"  {a}\n \t\n{b}  ", 80, 10) == two
+    # 250 characters, windows of 100 that overlap by 20: at 0 and 80, and a rest of 90 from 160
+    assert chunked(spark, c, 100, 20) == [(1, c[:100]), (1, c[80:180]), (1, c[160:])]
+    # what was pending is cut to its tail and stands before the first window
+    assert chunked(spark, f"{b}\n\n{c}", 100, 20) == [(1, f"{b}\n\n"), (1, f"{'b' * 18}\n\n\n\n{c[:100]}"), (1, c[80:180]), (1, c[160:])]
+    assert chunked(spark, f"{b}\n\nx\n\ny", 100, 20) == [(1, f"{b}\n\nx\n\ny")]
+    assert chunked(spark, f"x\f\f{a}  {b}", 100, 0) == [(3, f"{a} {b}")]
+    assert chunked(spark, "é🙂" * 60, 100, 20) == [(1, "é🙂" * 50), (1, "é🙂" * 20)]
 
 
 def test_html_text_prefers_the_article():

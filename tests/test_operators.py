@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from amberlode.operators import facts as O
@@ -51,11 +52,45 @@ def test_paths_closure_and_merges(spark):
     n = spark.createDataFrame([(1, None), (2, 1), (3, 2)], "id long, parent_id long")
     assert {r.id: r.path for r in graph.paths(n).collect()} == {1: "/1/", 2: "/1/2/", 3: "/1/2/3/"}
     cycle = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "id long, parent_id long")
-    assert {r.id for r in graph.closure(cycle, n.where("id = 1").select("id")).collect()} == {1, 2, 3}
+    assert {r.id: r.depth for r in graph.closure(cycle, n.where("id = 1").select("id")).collect()} == {1: 0, 2: 1, 3: 2}
+    assert graph.closure(cycle, n.where("id = 9").select("id")).count() == 0
     m = spark.createDataFrame([(i, i + 1 if i < 6 else None) for i in range(1, 7)], "id long, merged_into_id long")
     assert {r.target for r in graph.follow_merges(m).collect()} == {6}
 
 
+def test_no_depth_is_too_great(spark):
+    """Chains longer than any round; merge pointers stop at exactly ten hops."""
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)] + [(100, 99)], "id long, parent_id long")
+    got = {r.id: (r.path, r.depth) for r in graph.paths(chain).collect()}
+    assert got == {i: ("/" + "".join(f"{k}/" for k in range(i + 1)), i) for i in range(40)}  # 100's parent is missing
+    assert {r.id: r.depth for r in graph.closure(chain, spark.range(1)).collect()} == {i: i for i in range(40)}
+    with pytest.raises(ValueError, match="2 nodes"):
+        graph.paths(spark.createDataFrame([(1, None), (2, 1), (3, 4), (4, 3)], "id long, parent_id long")).collect()
+    m = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(20, None), (50, 51), (51, 50)], "id long, merged_into_id long")
+    got = {r.id: r.target for r in graph.follow_merges(m).collect()}
+    assert got == {**{i: min(20, i + 10) for i in range(21)}, 50: 50, 51: 51}
+    assert {r.id: r.target for r in graph.follow_merges(m, 3).collect()}[0] == 3
+
+
+def test_near_pairs_are_complete_at_poles_and_on_both_sides_of_the_date_line(spark):
+    r = random.Random(4)
+    points = [(70.0, 20.0), (70.0, 20.128), (10.0, 179.99), (10.0, -179.99), (89.99, 0.0), (89.99, 180.0), (-90.0, 5.0), (-89.97, -100.0), (0.0, 180.0), (0.0, -180.0)]
+    for _ in range(300):
+        lat, lng = r.choice([r.uniform(-90, 90), r.uniform(84, 90), r.uniform(-1, 1)]), r.choice([r.uniform(-180, 180), r.uniform(179, 180)])
+        points += [(lat, lng), (max(-90, min(90, lat + r.uniform(-0.06, 0.06))), (lng + r.uniform(-0.06, 0.06) / max(0.01, math.cos(math.radians(lat))) + 180) % 360 - 180)]
+    rows = list(enumerate(points))
+
+    def km(p, q):
+        (a, b), (c, d) = (tuple(map(math.radians, x)) for x in (p, q))
+        return 12742 * math.asin(math.sqrt(min(1, math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    df = spark.createDataFrame([(i, *p) for i, p in rows] + [(9999, None, 1.0)], "id long, lat double, lng double")
+    for radius in (5.0, 60.0):
+        want = {(i, j) for i, p in rows for j, q in rows if i < j and km(p, q) <= radius}
+        got = [(x.a, x.b) for x in graph.near_pairs(df, radius).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
 def test_fusion_ignores_the_order_of_lists(spark):
     rows = [("a", 1, 0), ("a", 2, 1), ("b", 2, 0), ("b", 2, 5)]
     schema = "list string, key long, rank long"
