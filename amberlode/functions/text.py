@@ -13,10 +13,10 @@ DIGITS = dict(zip("۰۱۲۳۴۵۶۷۸۹٠١٢٣٤٥٦٧٨٩", "01234567890123456
 LETTERS = {
     "ي": "ی", "ى": "ی", "ئ": "ی", "ك": "ک", "ة": "ه", "ۀ": "ه", "ہ": "ه", "أ": "ا", "إ": "ا", "آ": "ا", "ٱ": "ا", "ؤ": "و", "ڪ": "ک", "ۍ": "ی", "ې": "ی",
 }
-#: Marks that are dropped, joiners that become spaces, and invisible characters that are dropped.
-MARKS = "[\u064B-\u065F\u0670\u06D6-\u06ED\u0640]"
-JOINERS = "[\u200C\u200D]"
-INVISIBLE = "[\u200B\u200E\u200F\uFEFF\u202A-\u202E]"
+#: Marks and invisible characters that are dropped (first and last of each range), and joiners that become spaces.
+MARKS = [(0x064B, 0x065F), (0x0670, 0x0670), (0x06D6, 0x06ED), (0x0640, 0x0640)]
+INVISIBLE = [(0x200B, 0x200B), (0x200E, 0x200F), (0xFEFF, 0xFEFF), (0x202A, 0x202E)]
+JOINERS = "\u200C\u200D"
 ACCENTED = "[\u00C0-\u024F\u1E00-\u1EFF]"
 
 
@@ -35,17 +35,29 @@ def ascii_digits(text: Column) -> Column:
     return F.translate(text, "".join(DIGITS), "".join(DIGITS.values()))
 
 
+@lru_cache(maxsize=1)
+def _table() -> tuple[str, str]:
+    """All that is one character for one, or for none, as a single translation: letters, digits, accents, joiners, and marks and
+    invisible characters, which stand last as nothing stands for them."""
+    dropped = "".join(chr(c) for first, last in MARKS + INVISIBLE for c in range(first, last + 1))
+    a, b = accent_fold()
+    return "".join(LETTERS) + "".join(DIGITS) + a + JOINERS + dropped, "".join(LETTERS.values()) + "".join(DIGITS.values()) + b + " " * len(JOINERS)
+
+
 def normalize(text: Column) -> Column:
-    """Letters and digits unified, marks and accents dropped, lower case, everything else one space; null gives ''."""
-    t = F.coalesce(text, F.lit(""))
-    t = F.translate(t, "".join(LETTERS) + "".join(DIGITS), "".join(LETTERS.values()) + "".join(DIGITS.values()))
-    t = F.regexp_replace(t, MARKS, "")
-    t = F.regexp_replace(F.regexp_replace(t, JOINERS, " "), INVISIBLE, "")
-    folded = F.regexp_replace(F.translate(t, *accent_fold()), r"(?<=\p{IsLatin})\p{Mn}+", "")
-    t = F.lower(F.when(t.rlike(ACCENTED), folded).otherwise(t))
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}\s]+", " ")
-    t = F.regexp_replace(t, r"(?<=\p{IsLatin})\s+(?:e|ye)\s+(?=\p{IsLatin})", " ")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    """Letters and digits unified, marks and accents dropped, lower case, everything else one space; null gives ''.
+
+    One translation does all single characters; what needs a pattern is looked for by a cheaper test first."""
+    raw = F.coalesce(text, F.lit(""))
+
+    def folded(t: Column) -> Column:
+        return F.when(raw.rlike(ACCENTED) & t.rlike(r"\p{Mn}"), F.regexp_replace(t, r"(?<=\p{IsLatin})\p{Mn}+", "")).otherwise(t)
+
+    def joined(t: Column) -> Column:
+        return F.when(t.contains(" e ") | t.contains(" ye "), F.regexp_replace(t, r"(?<=\p{IsLatin}) (?:e|ye) (?=\p{IsLatin})", " ")).otherwise(t)
+
+    words = F.regexp_replace(F.lower(let(F.translate(raw, *_table()), folded)), r"[^\p{L}\p{N}]+", " ")
+    return F.trim(let(words, joined))
 
 
 def compact(text: Column) -> Column:
@@ -53,7 +65,7 @@ def compact(text: Column) -> Column:
 
 
 def tokens(normalized: Column) -> Column:
-    return F.filter(F.split(normalized, " "), lambda x: x != "")
+    return F.array_remove(F.split(normalized, " "), "")
 
 
 def let(value: Column, body) -> Column:
@@ -73,6 +85,21 @@ def word_runs(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>"))
 
 
+def runs_from(words: Column, firsts: Column, lengths: Column) -> Column:
+    """The distinct runs of `lengths` words, joined by spaces, that begin with one of the words `firsts`. Both sides of the test
+    are hashed once for each text; texts without such a word are done with that."""
+
+    def of(w: Column) -> Column:
+        def found(hits: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.array_contains(hits, F.get(w, i)))
+            runs = F.transform(starts, lambda i: F.transform(F.filter(lengths, lambda n: i + n <= F.size(w)), lambda n: F.array_join(F.slice(w, i + 1, n), " ")))
+            return F.when(F.size(hits) > 0, F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<string>"))
+
+        return let(F.array_intersect(w, firsts), found)
+
+    return let(words, of)
+
+
 def ngrams(words: Column, longest: int, least_chars: int = 3) -> Column:
     """All distinct runs of 1 to `longest` words with at least `least_chars` characters besides spaces."""
     every = let(words, lambda w: F.concat(*[word_runs(w, n) for n in range(1, longest + 1)]))

@@ -2,39 +2,56 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from amberlode.functions import similarity as S
 from amberlode.functions import text as T
+from amberlode.operators import graph
+from amberlode.sources.shared import BESIDE_ROWS, at_most, sent
 
 MATCH, REVIEW, GAP, LIMIT_KM = 0.92, 0.75, 0.03, 20.0
 
 
-def candidates(queries: DataFrame, aliases: DataFrame, fuzzy: bool = True) -> DataFrame:
+def candidates(queries: DataFrame, aliases: DataFrame, fuzzy: bool = True, merges: DataFrame | None = None) -> DataFrame:
     """query_id, entity_id, score, reasons. queries: query_id, text, external_id; aliases: entity_id, alias, historical, external_id.
 
-    Exact, compact and external-id joins are equalities; fuzzy names meet on a two-character prefix, spelled once each."""
-    q = queries.select("query_id", "external_id", T.normalize(F.col("text")).alias("n")).withColumn("c", F.replace("n", F.lit(" "), F.lit("")))
-    a = aliases.select("entity_id", "historical", T.normalize(F.col("alias")).alias("n")).withColumn("c", F.replace("n", F.lit(" "), F.lit("")))
+    A known external id decides alone. Other queries meet aliases that are equal, or equal but for spaces, by equality; fuzzy
+    names of three characters or more meet on the first two characters of the normalised name, every spelling once.
+    `merges` (id, target) leads from merged entities to those that they stand for now."""
+    known = aliases.where("external_id IS NOT NULL").groupBy("external_id").agg(F.min("entity_id").alias("entity_id"))
+    decided = queries.where("external_id IS NOT NULL").join(known, "external_id").select("query_id", "entity_id", F.lit(1.02).alias("score"), F.lit("external_id").alias("reason"))
+    named = queries.join(decided.select("query_id"), "query_id", "left_anti")
+    q = named.select("query_id", T.normalize(F.col("text")).alias("n")).where("n <> ''").withColumn("c", F.replace("n", F.lit(" "), F.lit("")))
+    a = aliases.select("entity_id", "historical", T.normalize(F.col("alias")).alias("n")).withColumn("c", F.replace("n", F.lit(" "), F.lit(""))).distinct()
     weight = lambda now, past: F.when(F.col("historical"), past).otherwise(now)
     parts = [
+        decided,
         q.join(a.drop("c"), "n").select("query_id", "entity_id", weight(1.0, 0.9).alias("score"), F.lit("exact").alias("reason")),
         q.join(a.drop("n"), "c").select("query_id", "entity_id", weight(0.97, 0.88).alias("score"), F.lit("compact").alias("reason")),
-        q.where("external_id IS NOT NULL").join(aliases.where("external_id IS NOT NULL").select("entity_id", "external_id").distinct(), "external_id").select("query_id", "entity_id", F.lit(1.02).alias("score"), F.lit("external_id").alias("reason")),
     ]
     if fuzzy:
-        mine = q.select("c").distinct().select(F.col("c").alias("qc"), F.substring("c", 1, 2).alias("block"))
-        names = a.select("c").distinct().select(F.col("c").alias("ac"), F.substring("c", 1, 2).alias("block"))
-        close = mine.join(names, "block").where("qc <> ac").withColumn("s", S.name_similarity(F.col("qc"), F.col("ac"))).where("s >= 0.7")
-        f = q.join(close, F.col("c") == F.col("qc")).join(a.select("entity_id", "historical", F.col("c").alias("ac")), "ac")
+        spelled = lambda df, c, least: df.where(F.length("c") >= least).select(F.col("c").alias(c), F.substring("n", 1, 2).alias("block")).distinct()
+        close = spelled(q, "qc", 3).join(spelled(a, "ac", 1), "block").withColumn("s", S.name_similarity(F.col("qc"), F.col("ac"))).where("s >= 0.7")
+        mine = q.select("query_id", F.col("c").alias("qc"), F.substring("n", 1, 2).alias("block"))
+        theirs = a.select("entity_id", "historical", F.col("c").alias("ac"), F.substring("n", 1, 2).alias("block"))
+        f = mine.join(close, ["qc", "block"]).join(theirs, ["ac", "block"])
         parts.append(f.select("query_id", "entity_id", (F.col("s") * weight(0.95, 0.85)).alias("score"), F.lit("fuzzy").alias("reason")))
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.unionByName(x)
+    every = reduce(DataFrame.unionByName, parts)
+    if merges is not None:
+        now = F.coalesce("target", "entity_id")
+        every = every.join(merges.select(F.col("id").alias("entity_id"), "target"), "entity_id", "left").select("query_id", now.alias("entity_id"), "score", "reason")
     return every.groupBy("query_id", "entity_id").agg(F.max("score").alias("score"), F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
+def best(found: DataFrame, limit: int = 10) -> DataFrame:
+    """The `limit` best candidates of each query, ties to the smaller entity_id: the list that a reviewer sees."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
 def adjusted(found: DataFrame, context: DataFrame) -> DataFrame:
     """Scores with the place context (query_id, entity_id, inside, km): bonuses and maluses, then at most 1, but for external ids."""
     place = F.when(F.col("inside"), 0.04).when(~F.col("inside"), -0.08).otherwise(0.0)
@@ -47,29 +64,54 @@ def decisions(found: DataFrame) -> DataFrame:
     """query_id, entity_id, score, decision: the best candidate against thresholds and the runner-up."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity_id")
     top = found.withColumn("second", F.lead("score").over(w)).withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    ambiguous = F.coalesce(F.col("score") - F.col("second") < GAP, F.lit(False))
+    ambiguous = F.coalesce((F.col("score") - F.col("second") < GAP) & (F.col("score") < 1.01), F.lit(False))
     decided = F.when((F.col("score") >= MATCH) & ~ambiguous, "matched").when(F.col("score") >= REVIEW, "review").otherwise("new")
     return top.select("query_id", "entity_id", F.round("score", 4).alias("score"), decided.alias("decision"))
 
 
-def duplicates(entities: DataFrame) -> DataFrame:
-    """a < b, score of entities (id, name, type, parent_id, lat, lng, external_id) with equal compact names, not far apart.
+def duplicates(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """a < b, score of entities (id, type, parent_id, lat, lng, external_id, merged_into_id) that share the compact form of any
+    alias (entity_id, alias), neither merged, with no two different external ids, and not known to be far apart.
+
+    Where both have coordinates, alias and cell together are the key of the join, so a common name meets near ones only;
+    an entity without coordinates may be any of its name."""
+    e = entities.where("merged_into_id IS NULL").drop("merged_into_id")
+    k = aliases.select(F.col("entity_id").alias("id"), T.compact(F.col("alias")).alias("c")).where("c <> ''").distinct().join(e, "id")
+
+    def side(x: str) -> DataFrame:
+        return k.select("c", "lat", "lng", *[F.col(y).alias(f"{x}_{y}") for y in ("id", "type", "parent_id", "external_id")])
 
-    The distance gate stands in the join, so a common name yields near pairs only."""
-    e = entities.select("id", T.compact(F.col("name")).alias("c"), "type", "parent_id", "lat", "lng", "external_id").where("c <> ''")
-    left, right = e.alias("a"), e.alias("b")
-    km = S.haversine_km(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng"))
-    pairs = left.join(right, (F.col("a.c") == F.col("b.c")) & (F.col("a.id") < F.col("b.id"))).withColumn("km", km)
-    same = F.when(F.col("a.type") == F.col("b.type"), 0.05).otherwise(0.0)
-    near = F.when(F.col("km") <= 2, 0.10).otherwise(0.0)
-    apart = F.when(F.col("a.parent_id") != F.col("b.parent_id"), -0.15).otherwise(0.0)
-    kept = (F.col("km").isNull() | (F.col("km") <= LIMIT_KM)) & ~F.coalesce(F.col("a.external_id") != F.col("b.external_id"), F.lit(False))
-    return pairs.where(kept).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(F.least(F.lit(0.99), 0.80 + same + near + apart), 4).alias("score"))
+    left, right = side("a"), side("b")
+    close = graph.near(left, right, LIMIT_KM, ["c"])
+    placed = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    bare = lambda df: df.drop("lat", "lng")
+    unplaced = bare(left.where(~placed)).join(bare(right), "c").unionByName(bare(left.where(placed)).join(bare(right.where(~placed)), "c"))
+    pairs = close.unionByName(unplaced.withColumn("d", F.lit(None).cast("double")))
+    pairs = pairs.where("a_id < b_id").where(~F.coalesce(F.col("a_external_id") != F.col("b_external_id"), F.lit(False))).drop("c").dropDuplicates(["a_id", "b_id"])
+    same = F.when(F.col("a_type") == F.col("b_type"), 0.05).otherwise(0.0)
+    near = F.when(F.col("d") <= 2, 0.10).otherwise(0.0)
+    apart = F.when(F.col("a_parent_id") != F.col("b_parent_id"), -0.15).otherwise(0.0)
+    return pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), F.round(F.least(F.lit(0.99), 0.80 + same + near + apart), 4).alias("score"))
 
 
 def mentions(texts: DataFrame, aliases: DataFrame, longest: int = 4) -> DataFrame:
-    """doc_id, entity_id, gram, confidence: word runs of a text that equal an alias; a shared alias shares its confidence."""
-    grams = texts.select("doc_id", F.explode_outer(T.ngrams(T.tokens(T.normalize(F.col("text"))), longest)).alias("gram"))
-    known = aliases.select("entity_id", T.normalize(F.col("alias")).alias("gram")).distinct()
-    share = known.groupBy("gram").agg(F.count("*").alias("n"))
-    return grams.join(known, "gram").join(share, "gram").select("doc_id", "entity_id", "gram", F.round(0.8 / F.col("n"), 4).alias("confidence"))
+    """doc_id, entity_id, gram, confidence: word runs of up to `longest` words of a text (doc_id, text) that equal an alias; a
+    shared alias shares its confidence.
+
+    Only words that begin an alias go on, as runs of as many words as aliases have. Where those first words are few they
+    stand beside every text and the runs are cut there; where they are many, words meet them by a join."""
+    known = aliases.select("entity_id", T.normalize(F.col("alias")).alias("gram")).where(F.length(F.replace("gram", F.lit(" "), F.lit(""))) >= 3).distinct()
+    known = known.groupBy("gram").agg(F.collect_set("entity_id").alias("entities")).withColumn("ws", T.tokens(F.col("gram"))).where(F.size("ws") <= longest)
+    firsts = known.groupBy(F.element_at("ws", 1).alias("w")).agg(F.collect_set(F.size("ws")).alias("lengths"))
+    words = T.tokens(T.normalize(F.col("text")))
+    if at_most(firsts, BESIDE_ROWS):
+        beside = firsts.agg(F.collect_set("w").alias("firsts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("lengths")))).alias("lengths"))
+        cut = texts.select("doc_id", "text").join(F.broadcast(beside)).select("doc_id", T.runs_from(words, F.col("firsts"), F.col("lengths")).alias("grams"))
+        grams = cut.where(F.size("grams") > 0).select("doc_id", F.explode("grams").alias("gram"))
+    else:
+        at = T.let(words, lambda ws: F.transform(ws, lambda w, i: F.struct(w.alias("w"), *[F.get(ws, i + k).alias(f"w{k}") for k in range(1, longest)])))
+        starts = texts.select("doc_id", at.alias("at")).select("doc_id", F.explode("at").alias("x")).select("doc_id", "x.*")
+        met = starts.join(sent(firsts), "w").select("doc_id", F.array("w", *[f"w{k}" for k in range(1, longest)]).alias("run"), F.explode("lengths").alias("n"))
+        grams = met.where(F.get("run", F.col("n") - 1).isNotNull()).select("doc_id", F.array_join(F.slice("run", 1, F.col("n")), " ").alias("gram"))
+    found = grams.distinct().join(sent(known.select("gram", "entities")), "gram")
+    return found.select("doc_id", F.explode("entities").alias("entity_id"), "gram", F.round(0.8 / F.size("entities"), 4).alias("confidence"))

@@ -52,17 +52,17 @@ def _(t):
     return O.revisions(assertions(t), KEY).select("assertion_id", "before", "value", "revision")
 
 
-@query("f6_edges", f"WITH {VALID_SQL} SELECT DISTINCT o_custkey AS subject, l_partkey AS object, year_from, year_to FROM valid JOIN orders ON o_orderkey = id JOIN lineitem ON l_orderkey = id AND l_linenumber = part WHERE l_partkey % 20 = 3")
+@query("f6_edges", f"WITH {VALID_SQL} SELECT DISTINCT o_custkey AS subject, l_partkey AS object, year_from, year_to FROM valid JOIN orders ON o_orderkey = id JOIN lineitem ON l_orderkey = id AND l_linenumber = part")
 def _(t):
     """Edges of entity-valued facts with their valid years."""
-    lines = t("lineitem").where("l_partkey % 20 = 3").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("part"), F.col("l_partkey").alias("object"))
+    lines = t("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("part"), F.col("l_partkey").alias("object"))
     owner = t("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("subject"))
     return valid(t).join(lines, ["id", "part"]).join(owner, "id").select("subject", "object", "year_from", "year_to").distinct()
 
 
-@query("f8_extract_dedup", "SELECT sha256(source || '|' || lang || '|' || substr(text, 1, 80)) AS extract_hash, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
+@query("f8_extract_dedup", "SELECT sha256(source || '|' || lang || '|' || text) AS extract_hash, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1")
 def _(t):
-    return t("documents").groupBy(F.sha2(F.concat_ws("|", "source", "lang", F.substring("text", 1, 80)), 256).alias("extract_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    return t("documents").groupBy(F.sha2(F.concat_ws("|", "source", "lang", "text"), 256).alias("extract_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
 CANDIDATES_SQL = """candidates AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'unknown_type' ELSE event_type END AS kind, CASE WHEN event_id % 5 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS value, event_id % 3 > 0 AS quoted, value / 100 - 0.5 AS confidence FROM events)"""
@@ -114,17 +114,24 @@ def _(t):
     return t("customer").select("c_custkey", FF.value_normalized(F.lit("decimal"), v).alias("value"), F.to_json(F.create_map(F.lit("census_year"), year)).alias("qualifiers"))
 
 
-RES_SQL = """a AS (SELECT n_nationkey AS entity_id, n_name AS alias, n_nationkey % 4 = 0 AS historical FROM nation),
-q AS (SELECT c_custkey AS query_id, CASE WHEN c_custkey % 3 = 0 THEN lower(n_name) WHEN c_custkey % 3 = 1 THEN replace(n_name, '_', '') ELSE 'zz' || c_custkey END AS text FROM customer JOIN nation ON n_nationkey = c_nationkey),
-qn AS (SELECT query_id, replace(lower(text), '_', ' ') AS n FROM q), an AS (SELECT entity_id, historical, replace(lower(alias), '_', ' ') AS n FROM a),
-found AS (SELECT query_id, entity_id, max(score) AS score FROM (SELECT query_id, entity_id, CASE WHEN historical THEN 0.9 ELSE 1.0 END AS score FROM qn JOIN an ON an.n = qn.n UNION ALL SELECT query_id, entity_id, CASE WHEN historical THEN 0.88 ELSE 0.97 END FROM qn JOIN an ON replace(an.n, ' ', '') = replace(qn.n, ' ', '')) GROUP BY ALL)"""
+#: Every nation has its name, an old name and an external id; queries are names, spellings, old names and external ids, known or not.
+RES_SQL = """a AS (SELECT n_nationkey AS entity_id, n_name AS alias, false AS historical, 'Q' || n_nationkey AS ext FROM nation UNION ALL SELECT n_nationkey, 'Old ' || n_name, true, 'Q' || n_nationkey FROM nation UNION ALL SELECT n_nationkey, 'Coast', n_nationkey % 2 = 0, 'Q' || n_nationkey FROM nation WHERE n_nationkey % 6 = 1),
+q AS (SELECT c_custkey AS query_id, CASE c_custkey % 5 WHEN 0 THEN lower(n_name) WHEN 1 THEN replace(n_name, '_', '') WHEN 2 THEN 'old-' || n_name WHEN 3 THEN 'coast' ELSE 'zz' || c_custkey END AS text, CASE WHEN c_custkey % 7 = 0 THEN 'Q' || (c_custkey % 40) END AS ext FROM customer JOIN nation ON n_nationkey = c_nationkey),
+qn AS (SELECT query_id, ext, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS n FROM q), an AS (SELECT entity_id, historical, ext, trim(regexp_replace(lower(alias), '[^a-z0-9]+', ' ', 'g')) AS n FROM a),
+dec AS (SELECT DISTINCT query_id, entity_id FROM qn JOIN an ON an.ext = qn.ext), und AS (SELECT * FROM qn WHERE query_id NOT IN (SELECT query_id FROM dec)),
+found AS (SELECT query_id, entity_id, max(score) AS score FROM (SELECT query_id, entity_id, 1.02 AS score FROM dec UNION ALL SELECT query_id, entity_id, CASE WHEN historical THEN 0.9 ELSE 1.0 END AS score FROM und JOIN an ON an.n = und.n
+  UNION ALL SELECT query_id, entity_id, CASE WHEN historical THEN 0.88 ELSE 0.97 END FROM und JOIN an ON replace(an.n, ' ', '') = replace(und.n, ' ', '')) GROUP BY ALL)"""
 
 
 def resolution(t, fuzzy=False):
-    a = t("nation").select(F.col("n_nationkey").cast("long").alias("entity_id"), F.col("n_name").alias("alias"), (F.col("n_nationkey") % 4 == 0).alias("historical"), F.lit(None).cast("string").alias("external_id"))
+    n = t("nation").select(F.col("n_nationkey").cast("long").alias("entity_id"), "n_name", F.concat(F.lit("Q"), F.col("n_nationkey").cast("string")).alias("external_id"))
+    alias = lambda df, name, old: df.select("entity_id", name.alias("alias"), old.alias("historical"), "external_id")
+    a = alias(n, F.col("n_name"), F.lit(False)).unionByName(alias(n, F.concat(F.lit("Old "), "n_name"), F.lit(True))).unionByName(alias(n.where("entity_id % 6 = 1"), F.lit("Coast"), F.col("entity_id") % 2 == 0))
     both = t("customer").join(t("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    text = F.when(F.col("c_custkey") % 3 == 0, F.lower("n_name")).when(F.col("c_custkey") % 3 == 1, F.replace("n_name", F.lit("_"), F.lit(""))).otherwise(F.concat(F.lit("zz"), F.col("c_custkey").cast("string")))
-    return resolve.candidates(both.select(F.col("c_custkey").alias("query_id"), text.alias("text"), F.lit(None).cast("string").alias("external_id")), a, fuzzy)
+    k, name = F.col("c_custkey"), F.col("n_name")
+    text = F.when(k % 5 == 0, F.lower(name)).when(k % 5 == 1, F.replace(name, F.lit("_"), F.lit(""))).when(k % 5 == 2, F.concat(F.lit("old-"), name)).when(k % 5 == 3, "coast").otherwise(F.concat(F.lit("zz"), k.cast("string")))
+    external = F.when(k % 7 == 0, F.concat(F.lit("Q"), (k % 40).cast("string")))
+    return resolve.candidates(both.select(k.alias("query_id"), text.alias("text"), external.alias("external_id")), a, fuzzy)
 
 
 @query("e1_candidates", f"WITH {RES_SQL} SELECT query_id, CAST(entity_id AS BIGINT) AS entity_id, CAST(round(score, 4) AS DOUBLE) AS score FROM found")
@@ -138,27 +145,33 @@ def _(t):
     return resolution(t, True).select("query_id", "entity_id", F.round("score", 4).alias("score"))
 
 
-@query("e2_context", f"WITH {RES_SQL} SELECT f.query_id, CAST(entity_id AS BIGINT) AS entity_id, CAST(round(least(1.0, score + CASE WHEN query_id % 2 = 0 THEN 0.04 ELSE -0.08 END + CASE WHEN query_id % 100 <= 2 THEN 0.04 WHEN query_id % 100 > 50 THEN -0.15 ELSE 0 END), 4) AS DOUBLE) AS score FROM found f")
+@query("e2_context", f"WITH {RES_SQL} SELECT f.query_id, CAST(entity_id AS BIGINT) AS entity_id, CAST(round(CASE WHEN score > 1.01 THEN score ELSE least(1.0, score + CASE WHEN query_id % 2 = 0 THEN 0.04 ELSE -0.08 END + CASE WHEN query_id % 100 <= 2 THEN 0.04 WHEN query_id % 100 > 50 THEN -0.15 ELSE 0 END) END, 4) AS DOUBLE) AS score FROM found f")
 def _(t):
     found = resolution(t)
     context = found.select("query_id", "entity_id", (F.col("query_id") % 2 == 0).alias("inside"), (F.col("query_id") % 100).cast("double").alias("km"))
     return resolve.adjusted(found, context).select("query_id", "entity_id", F.round("score", 4).alias("score"))
 
 
-@query("e3_decisions", f"WITH {RES_SQL}, r AS (SELECT *, lead(score) OVER w AS second, row_number() OVER w AS rn FROM found WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, entity_id)) SELECT query_id, CAST(entity_id AS BIGINT) AS entity_id, CAST(round(score, 4) AS DOUBLE) AS score, CASE WHEN score >= 0.92 AND NOT coalesce(score - second < 0.03, false) THEN 'matched' WHEN score >= 0.75 THEN 'review' ELSE 'new' END AS decision FROM r WHERE rn = 1")
+@query("e3_decisions", f"WITH {RES_SQL}, r AS (SELECT *, lead(score) OVER w AS second, row_number() OVER w AS rn FROM found WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, entity_id)) SELECT query_id, CAST(entity_id AS BIGINT) AS entity_id, CAST(round(score, 4) AS DOUBLE) AS score, CASE WHEN score >= 0.92 AND NOT coalesce(score - second < 0.03 AND score < 1.01, false) THEN 'matched' WHEN score >= 0.75 THEN 'review' ELSE 'new' END AS decision FROM r WHERE rn = 1")
 def _(t):
     return resolve.decisions(resolution(t))
 
 
 _KM = "2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))))"
-DUP_SQL = "d AS (SELECT p_partkey AS id, p_name AS name, p_brand AS type, p_size AS parent_id, 25 + (p_partkey * 7919 % 10000) / 1000.0::DOUBLE AS lat, 50 + (p_partkey * 104729 % 10000) / 1000.0::DOUBLE AS lng FROM part)"
+#: Parts stand for entities with two names each; some have no coordinates, some are merged, some have external ids.
+DUP_SQL = """d AS (SELECT p_partkey AS id, p_brand AS type, p_size AS parent_id, CASE WHEN p_partkey % 29 <> 4 THEN 25 + (p_partkey * 7919 % 10000) / 1000.0::DOUBLE END AS lat, 50 + (p_partkey * 104729 % 10000) / 1000.0::DOUBLE AS lng, CASE WHEN p_partkey % 6 = 0 THEN 'Q' || p_size END AS ext FROM part WHERE p_partkey % 13 <> 0),
+n AS (SELECT DISTINCT id, c FROM (SELECT p_partkey AS id, replace(lower(p_name), ' ', '') AS c FROM part UNION ALL SELECT p_partkey, replace(lower(p_type), ' ', '') || p_size FROM part WHERE p_partkey % 4 = 0)), e AS (SELECT * FROM d JOIN n USING (id))"""
 
 
-@query("e4_duplicates", f"WITH {DUP_SQL}, p AS (SELECT a.id AS a, b.id AS b, {_KM} AS km, a.type = b.type AS same, a.parent_id <> b.parent_id AS apart FROM d a JOIN d b ON a.name = b.name AND a.id < b.id) SELECT a, b, CAST(round(least(0.99, 0.80 + CASE WHEN same THEN 0.05 ELSE 0 END + CASE WHEN km <= 2 THEN 0.1 ELSE 0 END - CASE WHEN apart THEN 0.15 ELSE 0 END), 4) AS DOUBLE) AS score FROM p WHERE km <= 20")
+@query("e4_duplicates", f"WITH {DUP_SQL}, p AS (SELECT DISTINCT a.id AS a, b.id AS b, CASE WHEN a.lat + b.lat IS NOT NULL THEN {_KM} END AS km, a.type = b.type AS same, a.parent_id <> b.parent_id AS apart FROM e a JOIN e b ON a.c = b.c AND a.id < b.id WHERE NOT coalesce(a.ext <> b.ext, false)) SELECT a, b, CAST(round(least(0.99, 0.80 + CASE WHEN same THEN 0.05 ELSE 0 END + CASE WHEN km <= 2 THEN 0.1 ELSE 0 END - CASE WHEN apart THEN 0.15 ELSE 0 END), 4) AS DOUBLE) AS score FROM p WHERE km IS NULL OR km <= 20")
 def _(t):
     k = F.col("p_partkey")
-    d = t("part").select(k.alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("type"), F.col("p_size").alias("parent_id"), (25 + (k * 7919 % 10000) / F.lit(1000.0)).alias("lat"), (50 + (k * 104729 % 10000) / F.lit(1000.0)).alias("lng"), F.lit(None).cast("string").alias("external_id"))
-    return resolve.duplicates(d)
+    d = t("part").select(
+        k.alias("id"), F.col("p_brand").alias("type"), F.col("p_size").alias("parent_id"), F.when(k % 29 != 4, 25 + (k * 7919 % 10000) / F.lit(1000.0)).alias("lat"), (50 + (k * 104729 % 10000) / F.lit(1000.0)).alias("lng"),
+        F.when(k % 6 == 0, F.concat(F.lit("Q"), F.col("p_size").cast("string"))).alias("external_id"), F.when(k % 13 == 0, k - 1).alias("merged_into_id"),
+    )
+    names = t("part").select(k.alias("entity_id"), F.col("p_name").alias("alias")).unionByName(t("part").where("p_partkey % 4 = 0").select(k.alias("entity_id"), F.concat("p_type", F.lit(" "), F.col("p_size").cast("string")).alias("alias")))
+    return resolve.duplicates(d, names)
 
 
 @query("g1_one_hop", f"WITH {EDGES_SQL}, seeds AS (SELECT unnest(range(1, 30)) AS e), pub AS (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') SELECT DISTINCT edge_id, e FROM edges JOIN seeds ON subject = e OR object = e WHERE fact_id IN (SELECT o_orderkey FROM pub) AND subject % 11 <> 3 AND object % 11 <> 3")

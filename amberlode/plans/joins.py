@@ -115,20 +115,23 @@ def _(t):
     return graph.near_pairs(p, 5.0)
 
 
-@query("j14_spatial_join", f"{E} SELECT c.id AS county, v.id AS village FROM places c JOIN places v ON c.type = 'county' AND v.type = 'village' AND v.parent_id = c.id AND abs(c.lat - v.lat) < 1 AND abs(c.lng - v.lng) < 1")
+_KM = "2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(v.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(v.lat)) * pow(sin(radians(v.lng - c.lng) / 2), 2))))"
+
+
+@query("j14_spatial_join", f"{E} SELECT c.id AS county, v.id AS village, round({_KM}, 6) AS km FROM places c JOIN places v ON c.type = 'county' AND v.type = 'village' AND {_KM} <= 60")
 def _(t):
+    """Villages within sixty kilometres of a county's point, whoever their parent is: an equality on cells, then the distance."""
     p = places(t)
-    c = p.where("type = 'county'").select(F.col("id").alias("county"), F.col("lat").alias("clat"), F.col("lng").alias("clng"))
-    v = p.where("type = 'village'").select(F.col("id").alias("village"), "parent_id", "lat", "lng")
-    near = (F.abs(F.col("clat") - F.col("lat")) < 1) & (F.abs(F.col("clng") - F.col("lng")) < 1)
-    return c.join(v, F.col("parent_id") == F.col("county")).where(near).select("county", "village")
+    c = p.where("type = 'county'").select(F.col("id").alias("county"), "lat", "lng")
+    v = p.where("type = 'village'").select(F.col("id").alias("village"), "lat", "lng")
+    return graph.near(c, v, 60.0, []).select("county", "village", F.round("d", 6).alias("km"))
 
 
-@query("j17_polymorphic", "SELECT 'customer' AS ref_type, c_custkey AS ref_id, c_name AS label FROM customer WHERE c_custkey % 50 = 1 UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'part', p_partkey, p_name FROM part WHERE p_partkey % 50 = 1")
+@query("j17_polymorphic", "SELECT 'customer' AS ref_type, c_custkey AS ref_id, c_name AS label FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_name FROM supplier UNION ALL SELECT 'part', p_partkey, p_name FROM part")
 def _(t):
     """References (type, id): one typed equality join per type."""
-    refs = t("customer").where("c_custkey % 50 = 1").select(F.lit("customer").alias("ref_type"), F.col("c_custkey").alias("ref_id"))
-    refs = refs.unionByName(t("supplier").select(F.lit("supplier").alias("ref_type"), F.col("s_suppkey").alias("ref_id"))).unionByName(t("part").where("p_partkey % 50 = 1").select(F.lit("part").alias("ref_type"), F.col("p_partkey").alias("ref_id")))
+    refs = t("customer").select(F.lit("customer").alias("ref_type"), F.col("c_custkey").alias("ref_id"))
+    refs = refs.unionByName(t("supplier").select(F.lit("supplier").alias("ref_type"), F.col("s_suppkey").alias("ref_id"))).unionByName(t("part").select(F.lit("part").alias("ref_type"), F.col("p_partkey").alias("ref_id")))
     parts = [
         refs.where(F.col("ref_type") == kind).join(t(kind).select(F.col(key).alias("ref_id"), F.col(name).alias("label")), "ref_id")
         for kind, key, name in (("customer", "c_custkey", "c_name"), ("supplier", "s_suppkey", "s_name"), ("part", "p_partkey", "p_name"))

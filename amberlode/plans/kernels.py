@@ -20,9 +20,9 @@ def normal_sql(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace(regexp_replace(lower(translate({x}, '{a}', '{b}')), '[^\\p{{L}}\\p{{N}}\\s]+', ' ', 'g'), '(\\p{{Latin}})\\s+(?:e|ye)\\s+(\\p{{Latin}})', '\\1 \\2', 'g'), '\\s+', ' ', 'g'))"
 
 
-@query("n1_normalize", f"SELECT doc_id, substr(n, 1, 60) AS head, len(list_filter(string_split(n, ' '), lambda x: x <> '')) AS tokens FROM (SELECT doc_id, {normal_sql('substr(text, 1, 300)')} AS n FROM documents)")
+@query("n1_normalize", f"SELECT doc_id, substr(n, 1, 60) AS head, len(list_filter(string_split(n, ' '), lambda x: x <> '')) AS tokens FROM (SELECT doc_id, {normal_sql('text')} AS n FROM documents)")
 def _(t):
-    n = t("documents").select("doc_id", T.normalize(F.substring("text", 1, 300)).alias("n"))
+    n = t("documents").select("doc_id", T.normalize(F.col("text")).alias("n"))
     return n.select("doc_id", F.substring("n", 1, 60).alias("head"), F.size(T.tokens(F.col("n"))).cast("long").alias("tokens"))
 
 
@@ -91,9 +91,9 @@ def _(t):
     return s.withColumn("k", k).select("p_partkey", F.when(F.col("k") == 1, F.col("s")).otherwise(F.concat_ws("-", "s", F.col("k").cast("string"))).alias("slug"))
 
 
-@query("n12_script", "SELECT doc_id, CASE WHEN len(regexp_extract_all(substr(text, 1, 100), '\\p{Latin}')) = 0 THEN NULL ELSE 'Latn' END AS script FROM documents")
+@query("n12_script", "SELECT doc_id, CASE WHEN len(regexp_extract_all(text, '\\p{Latin}')) = 0 THEN NULL ELSE 'Latn' END AS script FROM documents")
 def _(t):
-    return t("documents").select("doc_id", T.script(F.substring("text", 1, 100)).alias("script"))
+    return t("documents").select("doc_id", T.script(F.col("text")).alias("script"))
 
 
 CANON = """(SELECT page_id, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || lower(regexp_replace(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1), ':[0-9]+$', '')) || regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '/+$', '')
@@ -156,23 +156,23 @@ def _(t):
     return t("documents").select("doc_id", T.token_estimate(F.col("text")).cast("long").alias("tokens"))
 
 
-@query("n19_ocr_lines", "WITH w AS (SELECT conv_id, turn, unnest(string_split(substr(text, 1, 60), ' ')) AS word, unnest(range(1, len(string_split(substr(text, 1, 60), ' ')) + 1)) AS k FROM conversations) SELECT conv_id, turn, (k - 1) // 5 AS line, string_agg(word, ' ' ORDER BY k) AS text, round(avg(CASE WHEN k % 4 <> 0 THEN k * 10 END) / 100, 4) AS confidence FROM w GROUP BY ALL")
+@query("n19_ocr_lines", "WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word, unnest(range(1, len(string_split(text, ' ')) + 1)) AS k FROM conversations) SELECT conv_id, turn, (k - 1) // 5 AS line, string_agg(word, ' ' ORDER BY k) AS text, round(avg(CASE WHEN k % 4 <> 0 THEN k * 10 END) / 100, 4) AS confidence FROM w GROUP BY ALL")
 def _(t):
     """Words of a recognised page with block, paragraph and line numbers become lines with a mean confidence."""
-    words = t("conversations").select("conv_id", "turn", F.posexplode(F.split(F.substring("text", 1, 60), " ")).alias("k", "word")).withColumn("line", F.floor(F.col("k") / 5))
+    words = t("conversations").select("conv_id", "turn", F.posexplode(F.split(F.col("text"), " ")).alias("k", "word")).withColumn("line", F.floor(F.col("k") / 5))
     return P.ocr_lines(words.withColumn("conf", F.when((F.col("k") + 1) % 4 == 0, -1).otherwise((F.col("k") + 1) * 10)), ["conv_id", "turn", "line"])
 
 
-@query("n20_license_and_year", "SELECT doc_id, CASE WHEN contains(p, 'by-nc') THEN 'cc_by_nc' WHEN contains(p, 'cc0') THEN 'cc0' ELSE 'unknown' END AS license, CAST(nullif(regexp_extract(p, '\\b(1[6-9][0-9][0-9]|20[0-9][0-9])\\b', 1), '') AS INTEGER) AS year FROM (SELECT doc_id, lower(CASE WHEN doc_id % 3 = 0 THEN 'CC BY-NC 4.0, taken ' || (1500 + doc_id) WHEN doc_id % 3 = 1 THEN 'cc0 1.0' ELSE text END) AS p FROM (SELECT doc_id, substr(text, 1, 50) AS text FROM documents))")
+@query("n20_license_and_year", "SELECT doc_id, CASE WHEN contains(p, 'by-nc') THEN 'cc_by_nc' WHEN contains(p, 'cc0') THEN 'cc0' ELSE 'unknown' END AS license, CAST(nullif(regexp_extract(p, '\\b(1[6-9][0-9][0-9]|20[0-9][0-9])\\b', 1), '') AS INTEGER) AS year FROM (SELECT doc_id, lower(CASE WHEN doc_id % 3 = 0 THEN 'CC BY-NC 4.0, taken ' || (1500 + doc_id) WHEN doc_id % 3 = 1 THEN 'cc0 1.0' ELSE text END) AS p FROM documents)")
 def _(t):
-    p = F.lower(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("CC BY-NC 4.0, taken "), (F.col("doc_id") + 1500).cast("string"))).when(F.col("doc_id") % 3 == 1, "cc0 1.0").otherwise(F.substring("text", 1, 50)))
+    p = F.lower(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("CC BY-NC 4.0, taken "), (F.col("doc_id") + 1500).cast("string"))).when(F.col("doc_id") % 3 == 1, "cc0 1.0").otherwise(F.col("text")))
     return t("documents").select("doc_id", U.license_of(p).alias("license"), U.year_in(p).alias("year"))
 
 
-@query("n21_category_hint", "SELECT doc_id, CASE WHEN regexp_matches(' ' || t || ' ', '\\sthe\\s') THEN 'english' WHEN regexp_matches(' ' || t || ' ', '\\sde\\s') THEN 'french' WHEN regexp_matches(' ' || t || ' ', '\\sder\\s') THEN 'german' END AS hint FROM (SELECT doc_id, lower(substr(text, 1, 200)) AS t FROM documents)")
+@query("n21_category_hint", "SELECT doc_id, CASE WHEN regexp_matches(' ' || t || ' ', '\\sthe\\s') THEN 'english' WHEN regexp_matches(' ' || t || ' ', '\\sde\\s') THEN 'french' WHEN regexp_matches(' ' || t || ' ', '\\sder\\s') THEN 'german' END AS hint FROM (SELECT doc_id, lower(text) AS t FROM documents)")
 def _(t):
     hints = {"the": "english", "de": "french", "der": "german"}
-    padded = F.concat(F.lit(" "), F.lower(F.substring("text", 1, 200)), F.lit(" "))
+    padded = F.concat(F.lit(" "), F.lower("text"), F.lit(" "))
     return t("documents").select("doc_id", F.coalesce(*[F.when(padded.rlike(rf"\s{k}\s"), v) for k, v in hints.items()]).alias("hint"))
 
 

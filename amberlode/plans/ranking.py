@@ -65,16 +65,18 @@ def _dot(a, b):
     return f"list_reduce(list_transform(list_zip({a}, {b}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE)), lambda x, y: x + y)"
 
 
-V1_SQL = f"WITH q AS (SELECT embedding AS qe FROM embeddings WHERE vec_id = 7) SELECT vec_id, round({_dot('embedding', 'qe')} / sqrt({_dot('embedding', 'embedding')} * {_dot('qe', 'qe')}), 6) AS score FROM embeddings, q WHERE label < 6 ORDER BY score DESC, vec_id LIMIT 20"
+V1_SQL = f"""WITH v AS (SELECT *, label % 2 AS model, vec_id % 9 <> 4 AS is_public FROM embeddings), q AS (SELECT model, arg_min(embedding, vec_id) AS qe FROM v GROUP BY model)
+SELECT v.model, vec_id, round({_dot('embedding', 'qe')} / sqrt({_dot('embedding', 'embedding')} * {_dot('qe', 'qe')}), 6) AS score FROM v JOIN q ON q.model = v.model WHERE is_public QUALIFY row_number() OVER (PARTITION BY v.model ORDER BY score DESC, vec_id) <= 20"""
 
 
 @query("v1_vector_topk", V1_SQL)
 def _(t):
-    """Exact cosine top-k over all vectors for one query vector, whose size is its length."""
-    e = t("embeddings")
-    one = F.broadcast(e.where("vec_id = 7").select(F.col("embedding").alias("qe")))
+    """Exact cosine top-k of each model over all its public vectors; each model's query is its first vector."""
+    v = t("embeddings").withColumn("model", F.col("label") % 2)
+    one = v.groupBy("model").agg(F.min_by("embedding", "vec_id").alias("qe"))
     score = S.dot(F.col("embedding"), F.col("qe")) / F.sqrt(S.dot(F.col("embedding"), F.col("embedding")) * S.dot(F.col("qe"), F.col("qe")))
-    return e.where("label < 6").join(one, how="cross").select("vec_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(20)
+    scored = v.where("vec_id % 9 <> 4").join(F.broadcast(one), "model").select("model", "vec_id", F.round(score, 6).alias("score"))  # two models
+    return first_of(scored, ["model"], [F.desc("score"), "vec_id"], 20)
 
 
 @query("o5_vector_heap", f"SELECT label, vec_id, score FROM (SELECT a.label, b.vec_id, round({_dot('a.embedding', 'b.embedding')}, 6) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id = (SELECT min(vec_id) FROM embeddings c WHERE c.label = a.label)) QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 5")

@@ -13,40 +13,58 @@ from amberlode.plans.fixtures import ENTITIES_SQL, REVIEWED_SQL, places, reviewe
 from amberlode.plans.kernels import normal_sql
 from amberlode.plans.registry import query
 
-DOCS_SQL = f"""{ENTITIES_SQL}, docs AS (
-  SELECT id, path, type, n AS normalized_text, replace(n, ' ', '') AS compact_text, CASE WHEN k % 2 = 0 THEN 'place ' || n END AS aliases,
-    CASE type WHEN 'province' THEN 1.6 WHEN 'county' THEN 1.6 WHEN 'port' THEN 1.3 ELSE 1.0 END + least(0.5, k % 50 / 40.0::DOUBLE) AS boost
-  FROM (SELECT *, {normal_sql('name')} AS n FROM places WHERE visibility = 'published' AND merged_into_id IS NULL)
-  UNION ALL SELECT 30000000 + p_partkey, '/' || (1000000 + p_partkey % 5) || '/', 'word', n, replace(n, ' ', ''), lower(p_brand), 1.1 + least(0.5, p_size / 40.0::DOUBLE) FROM (SELECT *, {normal_sql('p_name')} AS n FROM part))"""
+#: Entities are published places and parts; names are titles, other and old names; lines are an order's priorities.
+DOCS_SQL = f"""{ENTITIES_SQL}, ent AS (
+  SELECT c.id, c.type, c.path, c.name AS title, p.name AS parent_title, c.k % 50 AS facts FROM places c LEFT JOIN places p ON p.id = c.parent_id WHERE c.visibility = 'published' AND c.merged_into_id IS NULL
+  UNION ALL SELECT 30000000 + p_partkey, 'word', '/' || (1000000 + p_partkey % 5) || '/', p_name, NULL, p_size FROM part
+), nam AS (
+  SELECT id AS entity_id, title AS alias FROM ent
+  UNION ALL SELECT id, 'Place ' || name FROM places WHERE k % 2 = 0
+  UNION ALL SELECT id, 'Old ' || type || ' ' || (k % 100) FROM places WHERE k % 3 = 0
+  UNION ALL SELECT 30000000 + p_partkey, p_brand FROM part
+), nn AS (SELECT DISTINCT entity_id, {normal_sql('alias')} AS n FROM nam
+), na AS (SELECT entity_id, string_agg(n, ' ' ORDER BY n) AS aliases FROM nn WHERE n <> '' GROUP BY 1
+), nc AS (SELECT entity_id, string_agg(c, ' ' ORDER BY c) AS compact_text FROM (SELECT DISTINCT entity_id, replace(n, ' ', '') AS c FROM nn WHERE n <> '') GROUP BY 1
+), li AS (SELECT entity_id, string_agg(line, chr(10) ORDER BY line) AS told FROM (SELECT DISTINCT 10000000 + o_custkey AS entity_id, 'priority: ' || o_orderpriority AS line FROM orders) GROUP BY 1
+), docs AS (
+  SELECT id, path, type, body, facts, {normal_sql('title')} AS normalized_title, coalesce(aliases, '') AS aliases, coalesce(compact_text, '') AS compact_text, {normal_sql("concat_ws(' ', title, aliases, body)")} AS normalized_text,
+    CASE type WHEN 'province' THEN 1.6 WHEN 'county' THEN 1.6 WHEN 'port' THEN 1.3 WHEN 'village' THEN 1.0 ELSE 1.1 END + least(0.5, facts / 40.0::DOUBLE) AS boost
+  FROM (SELECT ent.*, aliases, compact_text, concat_ws(chr(10), parent_title, told) AS body FROM ent LEFT JOIN na ON na.entity_id = id LEFT JOIN nc ON nc.entity_id = id LEFT JOIN li ON li.entity_id = id))"""
 
 
 def documents(t):
-    p = places(t).where("visibility = 'published' AND merged_into_id IS NULL")
-    place = search.index(p.select("id", "path", "type", F.col("name").alias("title"), (F.col("k") % 50).alias("facts"), "k"))
-    place = place.withColumn("aliases", F.when(F.col("k") % 2 == 0, F.concat(F.lit("place "), "normalized_text")))
+    p = places(t)
+    parent = p.select(F.col("id").alias("parent_id"), F.col("name").alias("parent_title"))
+    place = p.where("visibility = 'published'").join(parent, "parent_id", "left").select("id", "type", "path", F.col("name").alias("title"), "parent_title", (F.col("k") % 50).alias("facts"), "merged_into_id")
     region = F.concat(F.lit("/"), (F.col("p_partkey") % 5 + 1000000).cast("string"), F.lit("/"))
-    word = search.index(t("part").select((F.col("p_partkey") + 30000000).alias("id"), region.alias("path"), F.lit("word").alias("type"), F.col("p_name").alias("title"), F.col("p_size").cast("long").alias("facts"), F.lower("p_brand").alias("aliases")))
-    cols = ["id", "path", "type", "normalized_text", "compact_text", "aliases", "facts"]
-    return place.select(*cols).unionByName(word.select(*cols)).withColumn("boost", search.boost(F.col("type"), F.col("facts")))
+    null = lambda kind: F.lit(None).cast(kind)
+    word_id = (F.col("p_partkey") + 30000000).alias("id")
+    word = t("part").select(word_id, F.lit("word").alias("type"), region.alias("path"), F.col("p_name").alias("title"), null("string").alias("parent_title"), F.col("p_size").cast("long").alias("facts"), null("long").alias("merged_into_id"))
+    entities = place.unionByName(word)
+    other = lambda df, name, old: df.select(F.col("id").alias("entity_id"), name.alias("alias"), F.lit(old).alias("historical"))
+    names = other(entities, F.col("title"), False).unionByName(other(p.where("k % 2 = 0"), F.concat(F.lit("Place "), "name"), False))
+    names = names.unionByName(other(p.where("k % 3 = 0"), F.concat(F.lit("Old "), "type", F.lit(" "), (F.col("k") % 100).cast("string")), True)).unionByName(other(t("part").withColumn("id", word_id), F.col("p_brand"), False))
+    lines = t("orders").select((F.col("o_custkey") + 10000000).alias("entity_id"), F.concat(F.lit("priority: "), "o_orderpriority").alias("line")).distinct()
+    return search.documents(entities, names, lines)
 
 
 def score_sql(q: str) -> str:
     c, words = q.replace(" ", ""), q.split()
-    return f"""(CASE WHEN normalized_text = '{q}' THEN 10 WHEN starts_with(normalized_text, '{q}') THEN 6 WHEN contains(normalized_text, '{q}') THEN 4 ELSE 0 END
- + CASE WHEN contains(' ' || coalesce(aliases, '') || ' ', ' {q} ') OR compact_text = '{c}' THEN 7 WHEN contains(compact_text, '{c}') THEN 3 ELSE 0 END {''.join(f" + CASE WHEN contains(normalized_text, '{w}') THEN 1 ELSE 0 END" for w in words)}) * boost"""
+    return f"""(CASE WHEN normalized_title = '{q}' THEN 10 WHEN starts_with(normalized_title, '{q}') THEN 6 WHEN contains(normalized_title, '{q}') THEN 4 ELSE 0 END
+ + CASE WHEN contains(' ' || aliases || ' ', ' {q} ') OR contains(' ' || compact_text || ' ', ' {c} ') THEN 7 WHEN contains(compact_text, '{c}') THEN 3 ELSE 0 END {''.join(f" + CASE WHEN contains(normalized_text, '{w}') THEN 1 ELSE 0 END" for w in words)}) * boost"""
 
 
 def match_sql(q: str) -> str:
     return "(" + " AND ".join(f"contains(normalized_text, '{w}')" for w in q.split()) + f" OR contains(compact_text, '{q.replace(' ', '')}'))"
 
 
-T1 = f"WITH {DOCS_SQL}, s AS (SELECT id, CAST(round({score_sql("supplier")}, 4) AS DOUBLE) AS score FROM docs WHERE {match_sql("supplier")} AND contains(path, '/1000001/') ORDER BY score DESC, id LIMIT 50) SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM s"
+T1 = f"WITH {DOCS_SQL}, s AS (SELECT id, CAST(round({score_sql("old village 7")}, 4) AS DOUBLE) AS score FROM docs WHERE {match_sql("old village 7")} AND contains(path, '/1000001/') ORDER BY score DESC, id LIMIT 50) SELECT id, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM s"
 
 
 @query("t1_keyword_search", T1)
 def _(t):
-    """Search with a place filter: the ranked list of one query."""
-    return search.search(search.within(documents(t), 1000001), "supplier", 50)
+    """Search for an old name with a place filter: the ranked list of one query."""
+    return search.search(search.within(documents(t), 1000001), "old village 7", 50)
 
 
 @query("t2_search_score", f"WITH {DOCS_SQL} SELECT id, CAST(round({score_sql('nation 2')}, 4) AS DOUBLE) AS score FROM docs WHERE {match_sql('nation 2')}")
@@ -54,20 +72,20 @@ def _(t):
     return documents(t).where(search.matches("nation 2")).select("id", F.round(search.score("nation 2"), 4).alias("score"))
 
 
-@query("t3_full_text", f"WITH {DOCS_SQL} SELECT id FROM docs WHERE contains(normalized_text, 'nation 1') AND contains(normalized_text, 'nation')")
+_WHOLE = lambda q: "(" + " AND ".join(f"contains(' ' || normalized_text || ' ', ' {w} ')" for w in q.split()) + f" OR contains(compact_text, '{q.replace(' ', '')}'))"
+_FREQ = lambda q: f"len(list_filter(string_split(normalized_text, ' '), lambda w: w IN ({', '.join(repr(w) for w in q.split())}))) / greatest(1, len(string_split(normalized_text, ' ')))::DOUBLE"
+
+
+@query("t3_full_text", f"WITH {DOCS_SQL} SELECT id, CAST(round({score_sql('priority high')} + {_FREQ('priority high')}, 4) AS DOUBLE) AS score FROM docs WHERE {_WHOLE('priority high')}")
 def _(t):
-    """All words and the phrase."""
-    return documents(t).where(F.col("normalized_text").contains("nation 1") & F.col("normalized_text").contains("nation")).select("id")
+    """All words as whole words, wherever they stand; scored with the words' relevance."""
+    return documents(t).where(search.phrases("priority high")).select("id", F.round(search.score("priority high", True), 4).alias("score"))
 
 
-@query("t4_entity_documents", f"{'WITH ' + ENTITIES_SQL}, o AS (SELECT o_custkey AS k, count(*) AS n, string_agg(DISTINCT o_orderpriority, ' ' ORDER BY o_orderpriority) AS lines FROM orders GROUP BY 1) SELECT c.id, c.name || ' ' || coalesce(p.name, '') || ' ' || coalesce(lines, '') AS body, CAST(coalesce(n, 0) AS BIGINT) AS facts FROM places c LEFT JOIN places p ON p.id = c.parent_id LEFT JOIN o ON o.k = c.k WHERE c.type = 'village'")
+@query("t4_entity_documents", f"WITH {DOCS_SQL} SELECT id, aliases, compact_text, body, normalized_title, normalized_text, round(boost, 6) AS boost FROM docs")
 def _(t):
-    """Name, parent's name and fact lines of each entity, gathered by one aggregate and two joins."""
-    p = places(t)
-    o = t("orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), " ").alias("lines"))
-    parent = p.select(F.col("id").alias("parent_id"), F.col("name").alias("parent"))
-    j = p.where("type = 'village'").join(parent, "parent_id", "left").join(o, "k", "left")
-    return j.select("id", F.concat("name", F.lit(" "), F.coalesce("parent", F.lit("")), F.lit(" "), F.coalesce("lines", F.lit(""))).alias("body"), F.coalesce("n", F.lit(0)).alias("facts"))
+    """The whole search document of every entity: all names, old ones too, compact keys, the parent and fact lines."""
+    return documents(t).select("id", "aliases", "compact_text", "body", "normalized_title", "normalized_text", F.round("boost", 6).alias("boost"))
 
 
 @query("t5_index_all", "SELECT 'sentence' AS kind, conv_id * 1000 + turn AS id, length(text) AS n FROM conversations UNION ALL SELECT 'page', page_id, length(url) FROM pages UNION ALL SELECT 'text', doc_id, length(text) FROM documents")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,3 +42,18 @@ def remove(spark: SparkSession, df_or_path: DataFrame | str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Rows of narrow tables (keys and short strings) that may be sent to every executor, some 100 MB at most, and of those
+#: that may stand beside every row.
+SENT_ROWS, BESIDE_ROWS = 1_000_000, 10_000
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether `df` holds no more than `rows` rows, without counting the rest."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def sent(df: DataFrame, rows: int = SENT_ROWS) -> DataFrame:
+    """`df` marked for a broadcast if it was counted to hold no more than `rows` rows, else as it is: a shuffle then."""
+    return F.broadcast(df) if at_most(df, rows) else df

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from amberlode.operators import facts as O
-from amberlode.operators import graph, rag, resolve
+from amberlode.operators import graph, rag, resolve, search
 from amberlode.plans import catalog
 from amberlode.sources import tables as X
 from amberlode.streaming import jobs
@@ -37,15 +37,67 @@ def test_corroboration_and_conflict_whatever_the_order(spark):
 
 def test_resolution_decisions(spark):
     a = spark.createDataFrame([(1, "Bandar Abbas", False, None), (2, "Gamron", True, None), (3, "Dehnow", False, None), (4, "Dehnow", False, "Q4")], "entity_id long, alias string, historical boolean, external_id string")
-    q = spark.createDataFrame([(1, "bandar-e abbas", None), (2, "Gamron", None), (3, "Dehnow", None), (4, "Dehnow", "Q4"), (5, "Nowhere", None)], "query_id long, text string, external_id string")
-    got = {r.query_id: (r.entity_id, r.decision) for r in resolve.decisions(resolve.candidates(q, a)).collect()}
-    assert got[1] == (1, "matched") and got[2] == (2, "review") and got[3][1] == "review" and 5 not in got
-    assert got[4][0] == 4
-
-
-def test_duplicates_far_apart_are_left(spark):
-    e = spark.createDataFrame([(1, "Deh", "village", 9, 27.1, 56.2, None), (2, "Deh", "village", 9, 27.1001, 56.2001, None), (3, "Deh", "village", 9, 26.0, 54.0, None)], "id long, name string, type string, parent_id long, lat double, lng double, external_id string")
-    assert [tuple(r) for r in resolve.duplicates(e).collect()] == [(1, 2, 0.95)]
+    q = spark.createDataFrame([(1, "bandar-e abbas", None), (2, "Gamron", None), (3, "Dehnow", None), (4, "Dehnow", "Q4"), (5, "Nowhere", None), (6, "Dehnow", "Q77"), (7, " - ", None)], "query_id long, text string, external_id string")
+    found = resolve.candidates(q, a)
+    got = {r.query_id: (r.entity_id, r.decision) for r in resolve.decisions(found).collect()}
+    assert got[1] == (1, "matched") and got[2] == (2, "review") and got[3][1] == "review" and not {5, 7} & set(got)
+    assert got[4] == (4, "matched") and got[6][1] == "review"  # a known external id decides alone, an unknown one nothing
+    assert [(r.entity_id, r.score, r.reasons) for r in found.where("query_id = 4").collect()] == [(4, 1.02, ["external_id"])]
+
+
+def test_fuzzy_names_merged_entities_and_the_ten_best(spark):
+    a = spark.createDataFrame([(i, f"Minab{'a' * (i % 3)}{i:02d}", False, None) for i in range(30)] + [(50, "Mi", False, None), (60, "xMinab", False, None)], "entity_id long, alias string, historical boolean, external_id string")
+    q = spark.createDataFrame([(1, "Minab0", None), (2, "Mi", None)], "query_id long, text string, external_id string")
+    found = resolve.candidates(q, a)
+    one = {r.entity_id for r in found.where("query_id = 1").collect()}
+    assert one >= set(range(10)) and 60 not in one  # fuzzy names share their first two characters
+    assert {r.entity_id for r in found.where("query_id = 2").collect()} == {50}  # and have three or more
+    assert [r.rank for r in resolve.best(found).where("query_id = 1").orderBy("rank").collect()] == list(range(1, 11))
+    merges = spark.createDataFrame([(i, 29) for i in range(30)], "id long, target long")
+    assert {r.entity_id for r in resolve.candidates(q, a, merges=merges).where("query_id = 1").collect()} == (one - set(range(30))) | {29}
+
+
+ENTITY = "id long, type string, parent_id long, lat double, lng double, external_id string, merged_into_id long"
+
+
+def test_duplicates_share_any_name_and_are_not_far_apart(spark):
+    e = spark.createDataFrame([(1, "village", 9, 27.1, 56.2, None, None), (2, "village", 9, 27.1001, 56.2001, None, None), (3, "village", 9, 26.0, 54.0, None, None), (4, "village", 9, 27.1, 56.2, None, 1), (5, "port", 8, None, None, "Q5", None), (6, "port", None, None, None, "Q6", None), (7, "port", None, None, None, "Q6", None)], ENTITY)
+    names = [(1, "Deh"), (2, "Deh"), (3, "Deh"), (4, "Deh"), (1, "Old Port"), (5, "old-port"), (6, "Gamron"), (7, "gam ron"), (5, "Gamron"), (2, "!"), (3, "?")]
+    got = {(r.a, r.b): r.score for r in resolve.duplicates(e, spark.createDataFrame(names, "entity_id long, alias string")).collect()}
+    assert got == {(1, 2): 0.95, (1, 5): 0.65, (6, 7): 0.85}
+
+
+def test_search_documents_hold_every_name_and_fact(spark):
+    e = spark.createDataFrame([(1, "Bandar Abbas", "Hormozgan", "city", 20, None), (2, "Gamron", None, "village", 0, 1), (3, "Qeshm", "Hormozgan", "island", 0, None)], "id long, title string, parent_title string, type string, facts long, merged_into_id long")
+    names = spark.createDataFrame([(1, "Bandar Abbas", False), (1, "Gamron", True), (1, "Port-Comorão", True)], "entity_id long, alias string, historical boolean")
+    lines = spark.createDataFrame([(1, "population: 526648"), (3, "length: 135 km")], "entity_id long, line string")
+    docs = search.documents(e, names, lines)
+    one = docs.where("id = 1").first()
+    assert one.aliases == "bandar abbas gamron port comorao" and one.compact_text == "bandarabbas gamron portcomorao" and one.body == "Hormozgan\npopulation: 526648" and one.boost == 2.1
+    hits = lambda q: [(r.id, r.score) for r in search.search(docs, q, 5).collect()]
+    assert hits("bandarabbas") == [(1, 14.7)] and hits("gamron") == [(1, 16.8)] and hits("526648") == [(1, 2.1)] and hits("") == []
+    assert [x[0] for x in hits("hormozgan")] == [1, 3] and hits("portcom") == [(1, 6.3)] and hits("bandar abbas")[0][1] == 39.9
+    assert [r.id for r in docs.where(search.phrases("km length")).collect()] == [3] and docs.where(search.phrases("lengt")).count() == 0
+
+
+@pytest.mark.parametrize("beside", [0, 1000])
+def test_mentions_by_either_way_equal_brute_force(spark, beside, monkeypatch):
+    monkeypatch.setattr(resolve, "BESIDE_ROWS", beside)
+    monkeypatch.setattr(rag, "BESIDE_ROWS", beside)
+    r = random.Random(9)
+    texts = [" ".join(r.choice("abc de fgh ij klm nop".split()) for _ in range(r.randint(0, 60))) for _ in range(30)] + ["", None, "abc"]
+    names = ["abc", "ij", "de fgh", "abc de fgh ij", "abc abc", "a b", "klm nop abc", "de", "Abc", "x y z v w"]
+    got = resolve.mentions(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(names)), "entity_id long, alias string"))
+    want = []
+    for i, t in enumerate(texts):
+        for k, n in enumerate(names):
+            g = n.lower()
+            if len(g.replace(" ", "")) >= 3 and len(g.split()) <= 4 and f" {g} " in f" {t or ''} ":
+                want.append((i, k, g, round(0.8 / sum(g == x.lower() for x in names), 4)))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 50
+    passages = ["de fgh ij klm nop"[: 9 + 2 * k] for k in range(5)] + [" ".join(texts[0].split()[3:12]), texts[1][5:60]]
+    found = rag.quotes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(passages)), "item_id long, text string"))
+    assert sorted(map(tuple, found.collect())) == sorted((i, k, t.find(p.strip())) for i, t in enumerate(texts) for k, p in enumerate(passages) if t and p.strip() in t)
 
 
 def test_paths_closure_and_merges(spark):
