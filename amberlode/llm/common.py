@@ -29,13 +29,16 @@ def unboxed(columns: list[str], **instead: Column) -> list[Column]:
 HEAVY_SHARE = 10_000
 
 
-def with_keys(rows: DataFrame, found: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """`rows` joined with `found`, which has one row per key and in `weight` a number no larger than the key's rows.
+def with_keys(rows: DataFrame, found: DataFrame, keys: list[str], weight: str, total: int | None = None) -> DataFrame:
+    """`rows` joined with `found`, a table written by `durable`, which has one row per key and in `weight` a number no larger
+    than the key's rows. `total`: the rows, where it is known.
 
     A key of more than one `HEAVY_SHARE`-th of all rows is met by broadcast - there are fewer than `HEAVY_SHARE` such keys -
     and its rows stay where they are; the others meet by a merge join in which no key is crowded."""
-    least = max(1, rows.count() // HEAVY_SHARE)
+    least = max(1, (rows.count() if total is None else total) // HEAVY_SHARE)
     heavy, light = (found.where(x).drop(weight) for x in (F.col(weight) > least, F.col(weight) <= least))
+    if heavy.isEmpty():
+        return rows.join(light.hint("merge"), keys)
     met = rows.join(F.broadcast(heavy), keys)
     rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light.hint("merge"), keys)
     return met.unionByName(rest)

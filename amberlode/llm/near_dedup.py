@@ -4,7 +4,9 @@ Every document becomes a set of word shingles. Minima of `bands * rows` hash fun
 the low `bits` bits of each minimum are packed into 64-bit planes. Documents that share a band key are
 candidates; counting equal packed values, corrected for chance collisions, estimates their similarity;
 candidates that may reach the threshold are confirmed on full shingle sets. Components of confirmed links
-are the duplicate classes.
+are the duplicate classes. Groups of at most `block` rows are compared whole; in larger ones every row is compared with
+one hub, and only rows that aren't near it with the rest of the group, so that a class of very many near copies costs
+about one comparison a copy.
 
 Defined results at the edges: null or blank text has an empty set and is linked with nothing; a text with
 fewer words than a shingle has its whole word sequence as its one shingle; rows that share a doc_id are one
@@ -14,15 +16,16 @@ node; a row without doc_id is linked with nothing and kept; columns besides doc_
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from amberlode.llm.common import durable, remove
+from amberlode.llm.common import durable, remove, with_keys
 
 _M3 = np.uint32(0x2C1B3C6D)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -39,7 +42,7 @@ class Params:
     miss: float = 1e-9
     deviations: float = 6.0
     estimators: int = 256
-    block: int = 4096
+    block: int = 1024
 
     @property
     def bands(self) -> int:
@@ -249,30 +252,102 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _in_blocks(rows: DataFrame, keys: list[str], size: str, p: Params) -> DataFrame:
-    """Adds i, j: groups of more than `block` rows become groups of two blocks each, every pair of rows in one of them."""
-    n = F.ceil(F.col(size) / F.lit(p.block)).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    others = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.least(F.col("_own"), k).alias("i"), F.greatest(F.col("_own"), k).alias("j")))
-    out = rows.withColumn("_own", own).withColumn("_pair", F.explode(others))
-    return out.select(*keys, "_pair.i", "_pair.j", *[c for c in rows.columns if c not in keys and c != size])
+def _own(n_blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), n_blocks).cast("int")
 
 
-def _forests(rows: DataFrame, keys: list[str], p: Params, exact: bool) -> DataFrame:
-    """src, dst: forest edges of each group; rows: keys, i, j, doc_id, planes and, if exact, shingles."""
+def _blocks(size: str, p: Params) -> Column:
+    return F.ceil(F.col(size) / F.lit(p.block)).cast("int")
+
+
+def _numbers(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def _payload(group: pa.Table, p: Params) -> tuple[np.ndarray, np.ndarray, list[np.ndarray] | None]:
+    """Ids, planes and, if there are any, sets of a group's rows."""
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("shingles")] if "shingles" in group.column_names else None
+    return group.column("doc_id").to_numpy(), _matrix(group.column("planes"), p.bits * p.planes), sets
+
+
+def _edges(edges: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if edges:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], ["src", "dst"])
+
+
+def _dealt(rows: DataFrame, by: list[str], order: list[str], run, schema: str) -> DataFrame:
+    """`run` over the rows of each group `by`, which are together and in `order`."""
+    return rows.repartition(*by).select(*by, *[c for c in rows.columns if c not in by]).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+
+
+def _whole_groups(rows: DataFrame, keys: list[str], p: Params) -> DataFrame:
+    """src, dst: forest edges of groups of at most `block` rows."""
+
+    def run(batches):
+        for group in _groups(batches, len(keys)):
+            if group.num_rows > 1:
+                yield from _edges(forest(*_payload(group, p)[:2], p, _payload(group, p)[2]))
+
+    return _dealt(rows, keys, ["doc_id"], run, "src long, dst long")
+
+
+def _hubs(rows: DataFrame, keys: list[str], p: Params) -> DataFrame:
+    """The keys, doc_id, hub and near of the rows of large groups, each compared with one row of its group: the hub goes to every
+    block, and no other row is copied."""
+    most = rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), "doc_id").alias("h"))
+    hubs = most.select(*keys, "h.*").withColumn("own", _numbers(_blocks("size", p))).withColumn("role", F.lit(0))
+    every = rows.withColumn("own", _own(_blocks("size", p))).withColumn("role", F.lit(1))
+
+    def run(batches):
+        for group in _groups(batches, len(keys) + 1):
+            ids, planes, sets = _payload(group, p)
+            near = (equal_values(planes[0], planes, p) >= p.least_equal) | (ids == ids[0])
+            if sets is not None:
+                near = np.array([n and (ids[k] == ids[0] or similar(sets[0], sets[k], p.percent)) for k, n in enumerate(near.tolist())])
+            rest = group.slice(1)
+            yield from pa.table({**{c: rest.column(c) for c in keys}, "doc_id": rest.column("doc_id"), "hub": pa.array(np.full(len(ids) - 1, ids[0])), "near": pa.array(near[1:])}).to_batches()
+
+    kinds = ", ".join(f"{c} long" for c in keys)
+    return _dealt(every.unionByName(hubs), [*keys, "own"], ["role", "doc_id"], run, f"{kinds}, doc_id long, hub long, near boolean")
+
+
+def _around_hubs(rows: DataFrame, keys: list[str], p: Params) -> DataFrame:
+    """src, dst: edges of groups of more than `block` rows.
+
+    Rows near the hub are linked by it. Only the others meet the whole group, block by block, so work and copies grow with
+    their number times the group's and not with its square."""
+    met = durable(_hubs(rows, keys, p), "hubs")
+    star = met.where("near AND doc_id <> hub").select(F.col("doc_id").alias("src"), F.col("hub").alias("dst"))
+    left = met.groupBy(*keys, "doc_id").agg(F.min("near").alias("near"))
+    counts = left.where("NOT near").groupBy(*keys).agg(F.count("*").alias("n_left"))
+    if counts.isEmpty():
+        return star
+    sizes = rows.groupBy(*keys).agg(F.max("size").alias("weight"))
+    known = with_keys(rows, durable(counts.join(sizes, keys), "left"), keys, "weight").join(left, [*keys, "doc_id"])
+    asking = known.where("NOT near").withColumn("i", _own(F.ceil(F.col("n_left") / F.lit(p.block)).cast("int"))).withColumn("j", _numbers(_blocks("size", p))).withColumn("role", F.lit(0))
+    asked = known.withColumn("j", _own(_blocks("size", p))).withColumn("i", _numbers(F.ceil(F.col("n_left") / F.lit(p.block)).cast("int"))).withColumn("role", F.lit(1))
 
     def run(batches):
         for group in _groups(batches, len(keys) + 2):
-            if group.num_rows < 2:
-                continue
-            ids = group.column("doc_id").to_numpy()
-            planes = _matrix(group.column("planes"), p.bits * p.planes)
-            sets = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("shingles")] if exact else None
-            if edges := forest(ids, planes, p, sets):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges)], ["src", "dst"])
+            ids, planes, sets = _payload(group, p)
+            linked = group.column("near").to_numpy(zero_copy_only=False).astype(bool)
+            loose, held = np.flatnonzero(~linked), np.flatnonzero(linked)
+            edges = forest(ids[loose], planes[loose], p, sets and [sets[k] for k in loose])
+            for q in np.flatnonzero(group.column("role").to_numpy() == 0):
+                near = held[equal_values(planes[q], planes[held], p) >= p.least_equal]
+                hit = near[:1] if sets is None else next(([k] for k in near if similar(sets[q], sets[k], p.percent)), [])
+                edges += [(int(ids[q]), int(ids[k])) for k in hit]  # those that are near the hub are linked already: one will do
+            yield from _edges(edges)
 
-    by = [*keys, "i", "j"]
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "src long, dst long")
+    return star.unionByName(_dealt(asking.unionByName(asked), [*keys, "i", "j"], ["role", "doc_id"], run, "src long, dst long"))
+
+
+def _links(make, sizes: DataFrame, keys: list[str], p: Params) -> DataFrame:
+    """src, dst: edges that connect what the pairs of rows within groups connect. `sizes`: keys and size, a written table;
+    `make` gives the rows of such groups: keys, size, doc_id, planes and, to confirm links, shingles."""
+    few = _whole_groups(make(sizes.where(F.col("size") <= p.block)), keys, p)
+    many = sizes.where(F.col("size") > p.block)
+    return few if many.isEmpty() else few.unionByName(_around_hubs(durable(make(many), "many"), keys, p))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -318,26 +393,36 @@ def shingle_sets(docs: DataFrame, p: Params) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of `docs`; see the module for edge cases."""
+    spark = docs.sparkSession
     signed = durable(signatures(docs, p), "signatures")
     real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     # exact copies of a set fall together first; only their smallest id goes on
-    firsts = durable(real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "firsts")
+    firsts = durable(real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "firsts")
     reps = real.join(firsts.select(F.col("rep").alias("doc_id"), "set_a", "set_b"), ["doc_id", "set_a", "set_b"], "left_semi").dropDuplicates(["doc_id", "set_a", "set_b"])
     banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    crowded = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = banded.join(crowded, "band").join(reps.select("doc_id", "planes"), "doc_id")
-    maybe = _forests(_in_blocks(buckets, ["band"], "size", p), ["band"], p, exact=False).distinct()
+    crowded = durable(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "crowded")
+    total = firsts.count() * p.bands
+
+    def buckets(bands: DataFrame) -> DataFrame:
+        return with_keys(banded, bands.withColumn("weight", F.col("size")), ["band"], "weight", total).join(reps.select("doc_id", "planes"), "doc_id")
+
+    maybe = _links(buckets, crowded, ["band"], p).distinct()
     clusters = durable(_with_roots(components(maybe, "candidates")), "clusters")
     # full sets are made again for clustered documents only
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    chosen = reps.join(clusters.join(sizes, "root"), "doc_id").select("root", "doc_id", "planes", "size", "set_a")
+    sizes = durable(clusters.groupBy("root").agg(F.count("*").alias("size")), "sizes")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(clusters.select("doc_id"), "doc_id", "left_semi")
-    sets = shingle_sets(texts, p).where(F.length("shingles") > 0).dropDuplicates(["doc_id", "shingles"])
-    full = chosen.drop("set_a").dropDuplicates(["doc_id", "planes"]).join(sets, "doc_id")
-    links = _forests(_in_blocks(full, ["root"], "size", p), ["root"], p, exact=True)
+    sets = durable(shingle_sets(texts, p).where(F.length("shingles") > 0).dropDuplicates(["doc_id", "shingles"]), "sets")
+
+    def full(roots: DataFrame) -> DataFrame:
+        chosen = reps.join(with_keys(clusters, roots.withColumn("weight", F.col("size")), ["root"], "weight"), "doc_id")
+        return chosen.select("root", "doc_id", "planes", "size").dropDuplicates(["doc_id", "planes"]).join(sets, "doc_id")
+
+    links = _links(full, sizes, ["root"], p)
     # copies of one set, and rows of one id, link as well
-    same = real.join(firsts, ["set_a", "set_b"]).where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
+    same = with_keys(real.select("doc_id", "set_a", "set_b"), firsts, ["set_a", "set_b"], "n").where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     found = components(links.unionByName(same), "links")
+    for done in (firsts, crowded, clusters, sizes, sets):  # the result reads the signatures and the components
+        remove(spark, done)
     return signed.join(found, "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("root", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept")
     )

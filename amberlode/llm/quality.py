@@ -90,7 +90,7 @@ def lost_lines(rules: DataFrame, p: Params) -> DataFrame:
     holder = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("holder")
     frequent = per_doc.groupBy("h1", "h2").agg(F.count("doc_id").alias("n"), holder).where(F.col("n") > p.least_docs)
     limited = frequent.select("h1", "h2", "n", F.col("holder.t.a").alias("ha"), F.col("holder.t.b").alias("hb"))
-    gone = with_keys(lines, limited, ["h1", "h2"], "n")
+    gone = with_keys(lines, durable(limited, "limited"), ["h1", "h2"], "n")
     if p.spare_first:
         gone = gone.where("NOT (a = ha AND b = hb)")
     gone = gone.select(*_KEY, "total", "h1", "h2", "chars").distinct().groupBy(*_KEY, "total").agg(F.sum("chars").alias("chars"), F.collect_list(F.struct("h1", "h2")).alias("lost"))

@@ -90,6 +90,24 @@ def test_near_duplicates_in_blocks_and_without_ids(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_large_groups_with_rows_far_from_the_hub_equal_brute_force(spark):
+    """Chains, two classes and strays that share bands, in blocks of four: links that don't pass the hub are found."""
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    t = []
+    for step in range(30):  # each is close to its neighbours only
+        t.append(" ".join(base))
+        k = r.randrange(110)
+        base[k : k + 4] = [f"y{step}_{j}" for j in range(4)]
+    t += [" ".join(words(r, 100) + base[:20]) for _ in range(10)] + [" ".join(f"w{i}" for i in range(120)) + f" z{k}" for k in range(25)] + [" ".join(base * 400) + f" q{k}" for k in range(6)]
+    r.shuffle(t)
+    for shingle, percent in ((3, 85), (5, 80)):
+        p = near_dedup.Params(shingle=shingle, percent=percent, block=4)
+        got = near_dedup.near_duplicates(docs(spark, t), p).collect()
+        assert sorted(map(tuple, got)) == plain_components(dict(enumerate(t)), shingle, percent)
+        assert len({x.component_id for x in got}) < len(t) - 20
+
+
 def test_similarity_estimate_is_close():
     p, r = near_dedup.Params(), np.random.default_rng(1)
     add, times, _ = near_dedup._functions(p)
