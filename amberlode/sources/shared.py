@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths that `scratch` gave out and nothing has swept.
+_GIVEN: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/amberlode/{name}-{uuid.uuid4().hex}"
+    _GIVEN.append(f"{shared_dir(spark)}/amberlode/{name}-{uuid.uuid4().hex}")
+    return _GIVEN[-1]
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
@@ -44,6 +50,16 @@ def remove(spark: SparkSession, df_or_path: DataFrame | str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """`durable` of what `make` returns; all tables that were written on the way are deleted once it stands."""
+    before = len(_GIVEN)
+    out = durable(make(), name)
+    for path in _GIVEN[before:-1]:
+        remove(spark, path)
+    _GIVEN[before:] = _GIVEN[-1:]
+    return out
+
+
 #: Rows of narrow tables (keys and short strings) that may be sent to every executor, some 100 MB at most, and of those
 #: that may stand beside every row.
 SENT_ROWS, BESIDE_ROWS = 1_000_000, 10_000

@@ -2,7 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. Each works on all that its predecessor kept, and all but the last return the columns of documents.
-Empty tables pass through every stage; nulls and repeated rows are handled as the operators' modules say.
+Empty tables pass through every stage; nulls, repeated rows and columns of any name are handled as the operators'
+modules say: rows without doc_id are judged, keep their lines, are near duplicates of nothing, and are redacted and
+packed like others.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from amberlode.llm import bpe, line_dedup, near_dedup, packing, quality, secret_scan
 from amberlode.llm.common import durable, table
+from amberlode.sources.shared import remove, settled
 
 
 def _resized(docs: DataFrame) -> DataFrame:
@@ -39,7 +42,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by their kind in brackets."""
-    return _resized(secret_scan.redacted(docs)).select(*docs.columns)
+    return _resized(secret_scan.redacted(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,13 +60,17 @@ STAGES = [
 ]
 
 #: The order in which best fit meets equally long pieces, and components of links, can't be put as one SQL statement;
-#: tests compare `run` with a plain Python version instead.
+#: a test compares every stage and `run` with a plain Python version instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents of `sf_dir`, each written to the shared folder and read again; a stage's input and the
+    tables it needed on the way are deleted once its result stands."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = durable(stage(spark, docs, sf_dir), name)
+        docs = settled(spark, lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name)
+        if last is not None:
+            remove(spark, last)
+        last = docs
     return docs
