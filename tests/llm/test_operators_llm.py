@@ -527,17 +527,79 @@ def test_redaction(spark):
     assert out == ['[assign]"', 'a [assign]" b', None]
 
 
-def test_pipeline_equals_its_stages(spark, texts, tmp_path):
+def plain_quality(rows):
+    """(doc_id, source, text) of the rows that pass, without boilerplate lines."""
+    norm = lambda x: x.strip(SPACE).lower()
+    held, first = defaultdict(set), {}
+    for i, s, t in rows:
+        for k in {norm(x) for x in (t or "").split("\n") if len(norm(x)) >= 20}:
+            if i is not None:
+                held[s, k].add(i)
+            rank = (i is None, i or 0)
+            if (s, k) not in first or rank < first[s, k][0]:
+                first[s, k] = (rank, t)
+    out = []
+    for i, s, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        c = Counter(zip(w, w[1:], w[2:]))
+        again = {j + k for j in range(len(w) - 2) if c[tuple(w[j : j + 3])] > 1 for k in range(3)}
+        lost = {k for k in {norm(x) for x in (t or "").split("\n") if len(norm(x)) >= 20} if len(held[s, k]) > 20 and first[s, k][1] != t}
+        total = sum(len(k) for k in {norm(x) for x in (t or "").split("\n") if len(norm(x)) >= 20})
+        if len(w) >= 50 and 2 * len(again) <= len(w) and 100 * sum(map(len, lost)) <= 70 * total:
+            out.append((i, s, "\n".join(x for x in t.split("\n") if norm(x) not in lost) if lost else t))
+    return out
+
+
+def plain_line_dedup(rows):
+    key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(SPACE))
+    held = defaultdict(set)
+    for i, _, t in rows:
+        for x in (t or "").split("\n"):
+            if i is not None and len(key(x)) >= 20:
+                held[key(x)].add(i)
+    return [(i, s, t if i is None else "\n".join(x for x in t.split("\n") if not (len(held[key(x)]) >= 3 and i < max(held[key(x)])))) for i, s, t in rows]
+
+
+def plain_pipeline(rows):
+    rows = plain_line_dedup(plain_quality(rows))
+    with_id = {i: t for i, _, t in rows if i is not None}
+    roots = {i: kept for i, _, _, kept in plain_components(with_id, 5, 80)}
+    rows = [r for r in rows if r[0] is None or roots[r[0]]]
+    scanner = secret_scan.Scanner(secret_scan.Rules())
+    rows = [(i, s, secret_scan.without(t, [dict(zip(("kind", "start", "end"), x)) for x in scanner.spans(t)])) for i, s, t in rows]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    lengths = [len(e.ids) for e in library.encode_batch([t for _, _, t in rows], add_special_tokens=False)]
+    return rows, [(i or -1, n) for (i, _, _), n in zip(rows, lengths)], plain_packing(lengths, packing.Params())
+
+
+def test_pipeline_equals_a_plain_version(spark, tmp_path):
+    """Boilerplate, crowded lines, near and exact copies, secrets, junk, nulls, rows without id and clashing columns."""
     import corpus_pipeline as cp
 
     r = random.Random(8)
-    long = ["\n".join(" ".join(words(r, 12)) for _ in range(8)) for _ in range(20)]
-    every = texts + long + [long[0] + "\ntoken = abcdef123456", long[1]]
-    docs(spark, every).write.parquet(str(tmp_path / "documents.parquet"))
+    long = ["\n".join(" ".join(words(r, 12)) for _ in range(8)) for _ in range(60)]
+    footer, passage = "Subscribe to our weekly newsletter today", "this passage is in a few of the documents"
+    t = [f"{x}\n  {footer} " if i < 25 else x for i, x in enumerate(long)]
+    t = [f"{x}\n{passage}" if 20 <= i < 24 else x for i, x in enumerate(t)]
+    t += [long[50] + "\ntoken = abcdef123456", long[51], long[52].replace("w1", "v1", 1), "junk " * 60, "short", "", None, long[53] + "\nAKIA" + "A1" * 8, " ".join(words(r, 30_000))]
+    df = clashing(spark, t).unionByName(clashing(spark, [long[54], long[55] + "\nsecret: abcdefgh99"], [None, None]))
+    rows = [(x.doc_id, x.source, x.text) for x in df.collect()]
+    want_rows, want_lengths, want_bins = plain_pipeline(rows)
+    stage = df
+    for name, f in cp.STAGES[:-1]:
+        stage = f(spark, stage, "")
+        assert stage.columns == df.columns
+    got = stage.collect()
+    assert sorted((x.doc_id or -1, x.text) for x in got) == sorted((i or -1, x) for i, _, x in want_rows)
+    assert all(x.n_chars == len(x.text) and x.lost == (f"lost {x.doc_id}" if x.doc_id is not None else None) for x in got)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
     out = cp.run(spark, str(tmp_path)).collect()
-    kept = {x.doc_id for x in out}
-    at = len(texts)
-    assert set(range(at + 2, at + 20)) <= kept and at + 20 not in kept and at + 21 not in kept and texts.index(None) not in kept
+    pieces = {(x.doc_id or -1, x.n_tokens) for x in out}
+    assert pieces == set(want_lengths)
+    bins = defaultdict(list)
+    for x in out:
+        bins[x.bin_size, x.bin_id].append(x.piece_tokens)
+    assert sorted((size, sorted(c)) for (size, _), c in bins.items()) == want_bins
     docs(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert cp.run(spark, str(tmp_path / "none")).count() == 0
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "secret_scan", "packing"]
