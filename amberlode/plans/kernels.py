@@ -147,8 +147,8 @@ def _(t):
 
 @query("n17_chunks")
 def _(t):
-    text = t("documents").groupBy("source").agg(F.concat_ws("\f", F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: F.replace(x["text"], F.lit(".\n"), F.lit(".\n\n")))).alias("text"))
-    return P.chunks(text, "source", 3500, 300).select("source", "seq", "page", F.length("text").alias("n_chars"))
+    """Chunks of every document, whose lines stand for paragraphs; each on its own, so that no row holds more than a text."""
+    return P.chunks(t("documents").select("doc_id", F.replace("text", F.lit(".\n"), F.lit(".\n\n")).alias("text")), "doc_id", 3500, 300).select("doc_id", "seq", "page", F.length("text").alias("n_chars"))
 
 
 @query("n18_token_estimate", "SELECT doc_id, CAST(ceil(length(text) / 3.5) AS BIGINT) AS tokens FROM documents")
@@ -232,10 +232,13 @@ def _(t):
     return t("conversations").select("conv_id", "turn", F.transform(F.array_sort(m), lambda x: x.cast("long")).alias("refs_sorted"), F.forall(m, lambda x: (x >= 1) & (x <= 3)).alias("valid"))
 
 
-@query("n31_keywords", "SELECT doc_id, list_filter(list_sort(list_distinct(string_split(h, ' '))), lambda w: length(w) >= 2 AND w NOT IN ('the', 'of', 'and', 'in', 'what', 'is', 'a', 'to', 'how')) AS x FROM (SELECT doc_id, 'what is the ' || lower(lang) || ' of ' || source AS h FROM documents)")
+_STOP = ", ".join("'{}'".format(w) for w in P.STOPWORDS)
+
+
+@query("n31_keywords", f"SELECT conv_id, turn, list_filter(list_filter(w, lambda x, i: list_position(w, x) = i), lambda x: length(x) >= 2 AND x NOT IN ({_STOP}))[1:6] AS x FROM (SELECT conv_id, turn, list_filter(string_split({normal_sql('text')}, ' '), lambda x: x <> '') AS w FROM conversations)")
 def _(t):
-    h = F.concat(F.lit("what is the "), F.lower("lang"), F.lit(" of "), F.col("source"))
-    return t("documents").select("doc_id", F.array_sort(P.keywords(h)).alias("x"))
+    """The first six words of each turn that mean something, in order."""
+    return t("conversations").select("conv_id", "turn", P.keywords(F.col("text")).alias("x"))
 
 
 @query("n32_boost", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 1.6 WHEN 1 THEN 1.3 ELSE 1.1 END + least(0.5, n_nationkey / 40.0::DOUBLE) AS boost FROM nation")

@@ -14,9 +14,14 @@ def _(t):
     return jobs.chunk_stream(t("documents").select("doc_id", "text")).select("doc_id", "seq", "page", "text_hash")
 
 
-@query("x2_bounded_batch", "SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 500")
+ROUTES = {"click": "fact", "view": "relationship", "purchase": "historical_name"}
+_ROUTE_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ROUTES.items()) + " ELSE 'entity' END"
+
+
+@query("x2_bounded_batch", f"SELECT event_id, {_ROUTE_SQL} AS route, CASE WHEN value / 100 < 0.6 THEN 'low_confidence' ELSE 'in_review' END AS state FROM (SELECT * FROM events WHERE event_type <> 'error' ORDER BY event_id LIMIT 500)")
 def _(t):
-    return t("events").select("event_id", "event_type").orderBy("event_id").limit(500)
+    """The first 500 pending candidates, as a scheduled run takes them, with their route and state."""
+    return jobs.routed(t("events").where("event_type <> 'error'").orderBy("event_id").limit(500), ROUTES).select("event_id", "route", "state")
 
 
 @query("x3_hourly_quality", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amberlode.functions import urls as U
@@ -30,8 +30,10 @@ def registry(entries: DataFrame) -> DataFrame:
     """title, url, outcome of registry entries (title, source_type, url, tier): accepted, matched or rejected."""
     bad = F.coalesce(F.trim("title") == "", F.lit(True)) | ~F.coalesce(F.col("source_type").isin(TYPES), F.lit(False)) | ~F.coalesce(F.col("tier").between(1, 5), F.lit(True))
     e = entries.withColumn("canonical", U.canonical_url(F.col("url"))).withColumn("bad", bad)
-    again = F.row_number().over(Window.partitionBy("bad", "canonical").orderBy("pos")) > 1
-    return e.withColumn("outcome", F.when(F.col("bad"), "rejected").when(F.col("canonical").isNotNull() & again, "matched").otherwise("accepted")).select("pos", "title", "canonical", "outcome")
+    # an aggregate and a join on the address, so that entries without one don't meet anywhere
+    first = e.where("NOT bad AND canonical IS NOT NULL").groupBy("canonical").agg(F.min("pos").alias("_first"))
+    outcome = F.when(F.col("bad"), "rejected").when(F.col("_first") < F.col("pos"), "matched").otherwise("accepted")
+    return e.join(first, "canonical", "left").select("pos", "title", "canonical", outcome.alias("outcome"))
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
@@ -42,12 +44,12 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
 DUMP = "struct<id:string,type:string,labels:map<string,struct<value:string>>,claims:map<string,array<string>>>"
 
 
-def read_dump(lines: DataFrame, country: str, inside: str = "P131", languages: tuple[str, ...] = ("fa", "en", "ar"), kept_claims: int = 14) -> DataFrame:
+def read_dump(lines: DataFrame, country: str, inside: str = "P131", languages: tuple[str, ...] = ("fa", "en", "ar")) -> DataFrame:
     """id, labels, parents of a dump's items of one country. A substring test stands before the parser, which is what costs."""
     likely = lines.where(F.col("value").contains(country) & F.col("value").contains(f'"{inside}"'))
     item = likely.select(F.from_json(F.rtrim(F.regexp_replace("value", r",\s*$", "")), DUMP).alias("x")).where("x.type = 'item'")
     named = F.map_filter("x.labels", lambda k, v: k.isin(list(languages)))
-    return item.where(F.array_contains(F.col("x.claims")["P17"], country)).select("x.id", F.transform_values(named, lambda k, v: v["value"]).alias("labels"), F.slice(F.col("x.claims")[inside], 1, kept_claims).alias("parents"))
+    return item.where(F.array_contains(F.col("x.claims")["P17"], country)).select("x.id", F.transform_values(named, lambda k, v: v["value"]).alias("labels"), F.col("x.claims")[inside].alias("parents"))
 
 
 def export_jsonl(entities: DataFrame, path: str, compression: str = "gzip") -> None:

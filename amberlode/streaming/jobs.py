@@ -30,6 +30,29 @@ def chunk_stream(docs: DataFrame, size: int = 3500, overlap: int = 300) -> DataF
     return P.chunks(docs, "doc_id", size, overlap).withColumn("text_hash", F.sha2("text", 256))
 
 
+def upsert(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """A sink that keeps the newest row of each key in a table of one folder per batch: a batch that is run again replaces
+    its own folder, and readers take the row of the latest batch (see `current`)."""
+
+    def sink(df: DataFrame, batch: int) -> None:
+        df.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return sink
+
+
+def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The newest row of each key of a table that `upsert` keeps."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in keys and c != "batch"]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+
+
+def routed(candidates: DataFrame, routes: dict[str, str]) -> DataFrame:
+    """Candidates (event_type, value) with the table that they go to and whether a person should look first."""
+    route = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in routes.items()], F.lit("entity"))
+    return candidates.withColumn("route", route).withColumn("state", F.when(F.col("value") / 100 < 0.6, "low_confidence").otherwise("in_review"))
+
+
 def hourly_quality(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Counts and sums per hour and type, closed once the watermark passes."""
     w = events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "event_type")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from amberlode.operators import facts as O
 from amberlode.operators import graph, rag, resolve, search
 from amberlode.plans import catalog
+from amberlode.sources import imports
 from amberlode.sources import tables as X
 from amberlode.streaming import jobs
 
@@ -212,3 +213,81 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     jobs.run_available(jobs.conflict_state(jobs.file_stream(spark, src, a.schema, 1)), keep, str(tmp_path / "cp"), "update")
     last = {r[:3]: r[3:] for r in out}
     assert last[(1, "founded", "-")] == (2, 3, True) and last[(1, "people", "1976")] == (1, 1, False)
+
+
+def test_chunks_routes_hours_content_and_evidence_as_streams(spark, tmp_path):
+    """Several micro-batches, a restart, a changed document, late rows and repeated contents."""
+    t0 = datetime(2024, 1, 1)
+    docs = [(i % 7, f"document {i % 7} has a text that is long enough, version {i // 7}. " * 3, t0 + timedelta(minutes=i)) for i in range(21)]
+    schema, src, cp = "doc_id long, text string, ts timestamp", str(tmp_path / "docs"), lambda n: str(tmp_path / n)
+    for k in range(3):
+        spark.createDataFrame(docs[7 * k : 7 * k + 7], schema).coalesce(1).write.mode("append").parquet(src)
+        for _ in range(2):  # the second run finds nothing new
+            jobs.run_available(jobs.chunk_stream(jobs.file_stream(spark, src, schema, 1).select("doc_id", "text")), jobs.upsert(cp("chunks"), ["doc_id", "seq"]), cp("cp1"))
+    got = {r.doc_id: r.text for r in jobs.current(spark, cp("chunks"), ["doc_id", "seq"]).collect()}
+    assert got == {i: docs[14 + i][1].strip() for i in range(7)}
+    seen = []
+    twice = spark.createDataFrame(docs + docs[:5], schema).repartition(3)
+    twice.write.parquet(cp("twice"))
+    jobs.run_available(jobs.distinct_content(jobs.file_stream(spark, cp("twice"), schema, 1)), lambda df, b: seen.extend(r.hash for r in df.collect()), cp("cp2"))
+    assert len(seen) == len(set(seen)) == 21
+    events = spark.createDataFrame([(i, t0 + timedelta(minutes=7 * i), i % 3, ["click", "view", "purchase"][i % 3], float(i)) for i in range(120)], "event_id long, ts timestamp, user_id long, event_type string, value double")
+    for part in range(4):
+        events.where(f"event_id % 4 = {part}").coalesce(1).write.mode("append").parquet(cp("events"))
+    hours, routes, found = {}, [], {}
+    read = lambda n: jobs.file_stream(spark, cp("events"), events.schema, n)
+    jobs.run_available(jobs.hourly_quality(read(9)), lambda df, b: hours.update({(r.hour, r.event_type): (r.n, r.total) for r in df.collect()}), cp("cp3"), "update")
+    assert hours == {(r.hour, r.event_type): (r.n, r.total) for r in jobs.hourly_quality(events).collect()}
+    jobs.run_available(jobs.routed(read(1), {"click": "fact"}), lambda df, b: routes.extend((r.event_id, r.route, r.state) for r in df.collect()), cp("cp4"))
+    assert sorted(routes) == [(i, "fact" if i % 3 == 0 else "entity", "low_confidence" if i < 60 else "in_review") for i in range(120)]
+    told = events.select(F.col("event_type").alias("property"), (F.col("event_id") % 5).cast("string").alias("value"), F.col("user_id").alias("source_id"))
+    told.repartition(3).write.parquet(cp("told"))
+    jobs.run_available(jobs.evidence(jobs.file_stream(spark, cp("told"), told.schema, 1)), lambda df, b: found.update({(r.property, r.value): (r.evidence, r.state) for r in df.collect()}), cp("cp5"), "update")
+    assert found == {(r.property, r.value): (r.evidence, r.state) for r in jobs.evidence(told).collect()}
+
+
+def test_kernels_in_sql(spark):
+    from amberlode.functions import sql
+    from amberlode.functions import text as T
+
+    assert {"kb_normalize", "kb_compact", "kb_haversine"} <= set(sql.register(spark))
+    texts = ["Bandar-e ‘Abbās", "بَندَر عبّاس", "Ça va? É! a e b ye c", "e\u0301t\u00e9", None, "", "ya'ni \\ x", "۱۲٬۳۴۵ ي ك", "می‌رود"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i")
+    want = [tuple(r) for r in df.select(T.normalize(F.col("x")), T.compact(F.col("x"))).collect()]
+    assert [tuple(r) for r in df.selectExpr("kb_normalize(x)", "kb_compact(x)").collect()] == want and want[0][1] == "bandarabbas"
+    assert round(spark.sql("SELECT kb_haversine(27, 56, 28, 56)").first()[0], 1) == 111.2
+
+
+def test_csv_kinds(spark, tmp_path):
+    p = tmp_path / "f.csv"
+    p.write_text("\ufeffPlace , Property,value,census_year,source_uuid\nQeshm,population,120,1976,s1\nQeshm,population,,1986,s1\nQeshm,,5,,s1\nMinab,population,7,,s1\nQeshm,population,9,,none\n\n,,,,\n", encoding="utf-8")
+    sources = spark.createDataFrame([("s1",)], "source_uuid string")
+    places = spark.createDataFrame([("Qeshm", 1), ("Minab", 2), ("Minab", 3)], "name string, entity_id long")
+    ok, bad = imports.import_csv(spark, "place_facts", str(p), sources, places)
+    assert sorted((r.place_id, r.value, r.census_year) for r in ok.collect()) == [(1, "120", "1976"), (1, "unknown", "1986")]
+    assert Counter(r.reason for r in bad.collect()) == {"property is required": 1, "place is not resolved unambiguously": 1, "row has no registered source_uuid": 1}
+    with pytest.raises(ValueError):
+        imports.import_csv(spark, "songs", str(p), sources)
+    for kind in imports.KINDS:
+        q = tmp_path / f"{kind}.csv"
+        q.write_text(",".join(imports.columns_of(kind)) + "\n" + ",".join("s1" if c == "source_uuid" else "x" for c in imports.columns_of(kind)) + "\n")
+        assert imports.import_csv(spark, kind, str(q), sources)[0].count() == 1
+
+
+def test_category_listings_and_trees(spark):
+    one = '<div id="mw-subcategories"><ul><li><a href="/wiki/Category:Sub_A">x</a></li><li><a href="/wiki/File:No">x</a></li></ul></div><div id="mw-pages"><ul><li><a href="/wiki/An_%41rticle">a</a></li><li><a href="/wiki/Help:X">h</a></li></ul></div><div id="catlinks"><a href="/wiki/Category:Parent">p</a></div>'
+    two = '<div id="mw-subcategories"><a href="/wiki/Category:Root">back</a></div><div id="mw-pages"><li class="x"><a href="/wiki/B+C">a</a></li></div></main>'
+    listings = spark.createDataFrame([("Category:Root", one), ("Category:Sub_A", two)], "title string, html string")
+    got = {r.title: (r.depth, r.pages) for r in imports.category_tree(listings, listings.where("title = 'Category:Root'").select("title")).collect()}
+    assert got == {"Category:Root": (0, ["An Article"]), "Category:Sub_A": (1, ["B+C"])}
+
+
+def test_grids_waits_and_stale_backups(spark):
+    html = '<table><tr class=a><th>Word</th><th>North&nbsp;side<th>South</tr><tr><td>x<td><i>a</i> <b>b</b><td>&lt;c&gt; &amp;amp;</table><table><tr></tr></table>'
+    df = spark.createDataFrame([(1, html), (2, ""), (3, None)], "id long, html string")
+    assert [r[0] for r in df.where("html IS NOT NULL").orderBy("id").select(imports.grid(F.col("html"))).collect()] == [[["Word", "North side", "South"], ["x", "a b", "<c> &amp;"]], []]
+    assert sorted(tuple(r)[2:] for r in imports.columns_long(df, "id").collect()) == [("North side", "a b", "x"), ("South", "<c> &amp;", "x")]
+    tries = spark.createDataFrame([(None, 1, None), (None, 3, None), (429, 2, 500), (503, 2, None), (503, 1, 3), (404, 1, 9)], "s int, a int, r int")
+    assert [r[0] for r in tries.select(imports.retry_wait(F.col("s"), F.col("a"), F.col("r"))).collect()] == [10, None, 120, 10, 5, None]
+    runs = spark.createDataFrame([("old", datetime(2024, 1, 1)), ("new", datetime(2024, 1, 20))], "run string, made timestamp")
+    assert [r.run for r in imports.stale_backups(runs, F.lit(datetime(2024, 1, 31)), 14).collect()] == ["old"]
