@@ -87,15 +87,11 @@ def _(t):
     return I.gallery(files, files.select("entity_id", (F.col("entity_id") % 4).alias("n")).distinct())
 
 
-@query("s10_fetch_schedule", """WITH RECURSIVE e AS (SELECT user_id % 40 AS host, event_id, floor(epoch(ts))::DOUBLE AS arrival, 30.0 + user_id % 40 * 10 AS delay, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) AS i FROM events),
-s AS (SELECT host, event_id, i, arrival AS start FROM e WHERE i = 1 UNION ALL SELECT e.host, e.event_id, e.i, greatest(e.arrival, s.start + e.delay) FROM s JOIN e ON e.host = s.host AND e.i = s.i + 1)
-SELECT event_id, round(start, 3) AS start, CASE WHEN event_id % 4 < 3 THEN CASE event_id % 3 WHEN 0 THEN 10 * (event_id % 4) WHEN 1 THEN least(greatest(event_id % 200, 5 * (event_id % 4)), 120) END END AS wait FROM s""")
-def _(t):
-    """When each request may start, as every host keeps its distance, and how long a failed attempt waits."""
-    host = F.col("user_id") % 40
-    r = t("events").select(host.alias("host"), F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("arrival"), (F.lit(30.0) + host * 10).alias("delay"))
-    status = F.when(F.col("id") % 3 == 1, 503).when(F.col("id") % 3 == 2, 404)
-    return I.fetch_times(r).select(F.col("id").alias("event_id"), F.round("start", 3).alias("start"), I.retry_wait(status, F.col("id") % 4, F.col("id") % 200).alias("wait"))
+@query("s10_retry", "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN CASE event_id % 3 WHEN 0 THEN 10 * (event_id % 4) WHEN 1 THEN least(greatest(event_id % 200, 5 * (event_id % 4)), 120) END END AS wait FROM events")
+def _(t):
+    """How long each failed attempt waits for the next one, if there is to be one."""
+    status = F.when(F.col("event_id") % 3 == 1, 503).when(F.col("event_id") % 3 == 2, 404)
+    return t("events").select("event_id", I.retry_wait(status, F.col("event_id") % 4, F.col("event_id") % 200).alias("wait"))
 
 
 @query("s8_fetch_gate", "SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'disabled' WHEN page_id % 7 = 0 THEN 'terms' WHEN NOT regexp_matches(url, '^https') THEN 'policy' WHEN contains(url, '/fr/') THEN 'glob' WHEN contains(url, '/de/') THEN 'robots' END AS reason FROM pages")

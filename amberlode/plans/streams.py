@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from amberlode.operators import history
 from amberlode.plans.fixtures import ASSERTIONS_SQL, assertions
 from amberlode.plans.registry import query
+from amberlode.sources import imports
 from amberlode.streaming import jobs
 
 
@@ -45,6 +47,24 @@ def _(t):
     return jobs.evidence(assertions(t))
 
 
+@query("x7_fetch_throttle", """WITH RECURSIVE e AS (SELECT user_id % 40 AS host, event_id, floor(epoch(ts))::DOUBLE AS arrival, 30.0 + user_id % 40 * 10 AS delay, row_number() OVER (PARTITION BY user_id % 40 ORDER BY floor(epoch(ts)), event_id) AS i FROM events),
+s AS (SELECT host, event_id, i, arrival AS start FROM e WHERE i = 1 UNION ALL SELECT e.host, e.event_id, e.i, greatest(e.arrival, s.start + e.delay) FROM s JOIN e ON e.host = s.host AND e.i = s.i + 1)
+SELECT event_id, round(start, 3) AS start FROM s""")
+def _(t):
+    """When each request may start, as every host keeps its distance."""
+    host = F.col("user_id") % 40
+    r = t("events").select(host.alias("host"), F.col("event_id").alias("id"), F.unix_seconds(F.col("ts").cast("timestamp")).cast("double").alias("arrival"), (F.lit(30.0) + host * 10).alias("delay"))
+    return imports.fetch_times(r).select(F.col("id").alias("event_id"), F.round("start", 3).alias("start"))
+
+
+@query("x8_cache_version", """WITH v AS (SELECT *, 1 + count(*) FILTER (WHERE event_type = 'purchase') OVER (ORDER BY ts, event_id) AS version FROM events)
+SELECT event_id, 'v' || version || ':' || (user_id % 5) AS cache_key, row_number() OVER (PARTITION BY version, user_id % 5 ORDER BY ts, event_id) > 1 AS hit FROM v WHERE event_type <> 'purchase'""")
+def _(t):
+    """Lookups of a cache that every purchase makes stale: the versioned key, and whether it is filled."""
+    seen = history.versions(t("events"), F.col("event_type") == "purchase", "ts", "event_id").where("event_type <> 'purchase'")
+    return history.cache_hits(seen.withColumn("k", (F.col("user_id") % 5).cast("string")), "k", "ts", "event_id").select("event_id", "cache_key", "hit")
+
+
 @query("x9_tumbling", "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def _(t):
     return t("events").groupBy(F.window("ts", "6 hours").alias("w")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users")).select(F.col("w.start").alias("start"), "n", "users")

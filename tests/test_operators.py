@@ -291,3 +291,19 @@ def test_grids_waits_and_stale_backups(spark):
     assert [r[0] for r in tries.select(imports.retry_wait(F.col("s"), F.col("a"), F.col("r"))).collect()] == [10, None, 120, 10, 5, None]
     runs = spark.createDataFrame([("old", datetime(2024, 1, 1)), ("new", datetime(2024, 1, 20))], "run string, made timestamp")
     assert [r.run for r in imports.stale_backups(runs, F.lit(datetime(2024, 1, 31)), 14).collect()] == ["old"]
+
+
+def test_the_command_line(spark, tmp_path, capsys):
+    from amberlode.__main__ import main
+
+    main(["list"])
+    assert "t1_keyword_search" in capsys.readouterr().out.split()
+    main(["run", "SELECT kb_compact(n_name) AS c FROM nation", "/root/testdata/sf0.001", "--out", str(tmp_path / "o")], spark)
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 25
+    main(["run", "a2_group_counts" if "a2_group_counts" in catalog.QUERIES else "s1_scan", "/root/testdata/sf0.001"], spark)
+    main(["export", str(tmp_path / "o"), str(tmp_path / "j")], spark)
+    assert spark.read.json(str(tmp_path / "j")).count() == 25
+    (tmp_path / "p.csv").write_text("text_local,source_uuid\nx,s1\n,s1\n")
+    spark.createDataFrame([("s1",)], "source_uuid string").write.parquet(str(tmp_path / "s"))
+    main(["import", "proverbs", str(tmp_path / "p.csv"), str(tmp_path / "s"), str(tmp_path / "i")], spark)
+    assert spark.read.parquet(str(tmp_path / "i/accepted")).count() == 1 == spark.read.parquet(str(tmp_path / "i/rejected")).count()
