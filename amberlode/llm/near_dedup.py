@@ -352,19 +352,21 @@ def _links(make, sizes: DataFrame, keys: list[str], p: Params) -> DataFrame:
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """doc_id, root: the smallest id of every component of the undirected graph `edges` (src, dst); by alternating
-    large-star and small-star steps, each a table in the shared folder."""
+    large-star and small-star steps, each a table in the shared folder. The edges of a vertex that very many have in common
+    aren't brought together."""
     spark = edges.sparkSession
     now = durable(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u > v").distinct(), name)
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        linked = large.join(least, "u")
-        small = linked.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), name)
+        large = durable(with_keys(both.where("v > u"), least, ["u"], "n", 2 * mark[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        fewest = durable(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), name)
+        linked = with_keys(large, fewest, ["u"], "n")
+        small = linked.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(fewest.select("u", F.col("m").alias("v")))
         then = durable(small.distinct(), name)
-        remove(spark, now)
+        for done in (now, least, large, fewest):
+            remove(spark, done)
         now, before, mark = then, mark, _mark(then)
         if mark == before:
             break
