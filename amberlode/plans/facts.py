@@ -6,11 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from amberlode.functions import facts as FF
+from amberlode.functions import text as T
+from amberlode.operators import candidates as C
 from amberlode.operators import facts as O
 from amberlode.operators import graph, resolve
 from amberlode.plans.filters import VALID_SQL, publish_problems, servable, valid
 from amberlode.plans.fixtures import ASSERTIONS_SQL, ENTITIES_SQL, assertions, places
 from amberlode.plans.joins import EDGES_SQL, edges
+from amberlode.plans.kernels import normal_sql
 from amberlode.plans.registry import query
 
 KEY = ["entity_id", "property", "qualifier"]
@@ -65,21 +68,21 @@ def _(t):
     return t("documents").groupBy(F.sha2(F.concat_ws("|", "source", "lang", "text"), 256).alias("extract_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
 
 
-CANDIDATES_SQL = """candidates AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'unknown_type' ELSE event_type END AS kind, CASE WHEN event_id % 5 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS value, event_id % 3 > 0 AS quoted, value / 100 - 0.5 AS confidence FROM events)"""
-
-
-@query("f10_admission", f"WITH {CANDIDATES_SQL} SELECT event_id, CASE WHEN kind = 'unknown_type' THEN 'unknown property' WHEN NOT quoted THEN 'quote missing' WHEN value = '' THEN 'empty value' END AS reason, greatest(0, least(1, confidence)) AS confidence FROM candidates")
+@query("f10_admission", f"""WITH d AS (SELECT doc_id, {normal_sql("text")} AS n, text, doc_id % 30 / 10.0::DOUBLE - 0.5 AS c FROM documents), i AS (
+  SELECT doc_id, 0 AS seq, 'entity' AS kind, c, CASE WHEN doc_id % 4 = 0 THEN 'unknown entity type' END AS unknown, CASE WHEN doc_id % 3 = 0 THEN 'no such quote at all' ELSE substr(text, 5, 20) END AS quote, n, 'x' AS value FROM d
+  UNION ALL SELECT doc_id, 1, 'fact', c, CASE WHEN doc_id % 5 = 0 THEN 'unknown property' END, substr(text, 1, 30), n, CASE WHEN doc_id % 7 = 0 THEN '' ELSE '5' END FROM d
+  UNION ALL SELECT doc_id, 2, 'relationship', NULL, CASE WHEN doc_id % 6 = 0 THEN 'unknown relation' END, substr(text, length(text) - 9, 10), n, 'x' FROM d)
+SELECT doc_id AS chunk_id, CAST(seq AS INTEGER) AS seq, kind, coalesce(unknown, CASE WHEN length({normal_sql("quote")}) < 3 OR NOT contains(n, {normal_sql("quote")}) THEN 'evidence quote not found in source text' END, CASE WHEN kind = 'fact' AND value = '' THEN 'empty value' END) AS reason, CASE WHEN c IS NOT NULL THEN greatest(0, least(1, c)) END AS confidence FROM i""")
 def _(t):
-    c = t("events").select("event_id", F.when(F.col("event_id") % 7 == 0, "unknown_type").otherwise(F.col("event_type")).alias("kind"), F.when(F.col("event_id") % 5 == 0, "").otherwise(F.col("user_id").cast("string")).alias("v"), (F.col("event_id") % 3 > 0).alias("quoted"), (F.col("value") / 100 - 0.5).alias("confidence"))
-    reason = F.coalesce(F.when(F.col("kind") == "unknown_type", "unknown property"), F.when(~F.col("quoted"), "quote missing"), F.when(F.col("v") == "", "empty value"))
-    return c.select("event_id", reason.alias("reason"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("confidence"))).alias("confidence"))
-
-
-@query("f11_routing", f"WITH {ASSERTIONS_SQL} SELECT property, value, count(DISTINCT source_id) AS evidence, CASE WHEN property = 'click' THEN 'fact' WHEN property = 'view' THEN 'relationship' ELSE 'entity' END AS route, CASE WHEN count(DISTINCT source_id) >= 2 THEN 'in_review' ELSE 'needs_evidence' END AS state FROM assertions WHERE status = 'ai_extracted' GROUP BY property, value")
-def _(t):
-    route = F.when(F.col("property") == "click", "fact").when(F.col("property") == "view", "relationship").otherwise("entity")
-    g = assertions(t).where("status = 'ai_extracted'").groupBy("property", "value").agg(F.countDistinct("source_id").alias("evidence"))
-    return g.select("property", "value", "evidence", route.alias("route"), F.when(F.col("evidence") >= 2, "in_review").otherwise("needs_evidence").alias("state"))
+    """Items that a model found in every document, as JSON, each with the rule that it breaks."""
+    k, text = F.col("doc_id"), F.col("text")
+    sure = (k % 30 / F.lit(10.0) - 0.5).alias("confidence")
+    entity = F.struct(F.when(k % 4 == 0, "alien").otherwise("village").alias("type"), F.col("lang").alias("name"), F.when(k % 3 == 0, "no such quote at all").otherwise(F.substring(text, 5, 20)).alias("evidence_quote"), sure)
+    fact = F.struct(F.lit("village").alias("subject_type"), F.col("lang").alias("subject"), F.when(k % 5 == 0, "bogus").otherwise("population").alias("property"), F.when(k % 7 == 0, "").otherwise("5").alias("value"), F.substring(text, 1, 30).alias("evidence_quote"), sure)
+    relation = F.struct(F.col("lang").alias("subject"), F.when(k % 6 == 0, "bogus").otherwise("located_in").alias("relation"), F.col("source").alias("object"), F.substring(text, F.length(text) - 9, F.lit(10)).alias("evidence_quote"))
+    payload = F.to_json(F.struct(F.array(entity).alias("entities"), F.array(fact).alias("facts"), F.array(relation).alias("relationships")))
+    chunks = t("documents").select(k.alias("chunk_id"), "text", payload.alias("payload"))
+    return C.admitted(chunks, ["village", "port"], ["population"], ["located_in"]).select("chunk_id", "seq", "kind", "reason", "confidence")
 
 
 @query("f12_merge", f"{E}, m AS (SELECT k AS old, merged_into_id - 10000000 AS new FROM places WHERE merged_into_id IS NOT NULL) SELECT o_orderkey, coalesce(new, o_custkey) AS owner FROM orders LEFT JOIN m ON old = o_custkey")
@@ -123,7 +126,7 @@ found AS (SELECT query_id, entity_id, max(score) AS score FROM (SELECT query_id,
   UNION ALL SELECT query_id, entity_id, CASE WHEN historical THEN 0.88 ELSE 0.97 END FROM und JOIN an ON replace(an.n, ' ', '') = replace(und.n, ' ', '')) GROUP BY ALL)"""
 
 
-def resolution(t, fuzzy=False):
+def resolution_tables(t):
     n = t("nation").select(F.col("n_nationkey").cast("long").alias("entity_id"), "n_name", F.concat(F.lit("Q"), F.col("n_nationkey").cast("string")).alias("external_id"))
     alias = lambda df, name, old: df.select("entity_id", name.alias("alias"), old.alias("historical"), "external_id")
     a = alias(n, F.col("n_name"), F.lit(False)).unionByName(alias(n, F.concat(F.lit("Old "), "n_name"), F.lit(True))).unionByName(alias(n.where("entity_id % 6 = 1"), F.lit("Coast"), F.col("entity_id") % 2 == 0))
@@ -131,7 +134,11 @@ def resolution(t, fuzzy=False):
     k, name = F.col("c_custkey"), F.col("n_name")
     text = F.when(k % 5 == 0, F.lower(name)).when(k % 5 == 1, F.replace(name, F.lit("_"), F.lit(""))).when(k % 5 == 2, F.concat(F.lit("old-"), name)).when(k % 5 == 3, "coast").otherwise(F.concat(F.lit("zz"), k.cast("string")))
     external = F.when(k % 7 == 0, F.concat(F.lit("Q"), (k % 40).cast("string")))
-    return resolve.candidates(both.select(k.alias("query_id"), text.alias("text"), external.alias("external_id")), a, fuzzy)
+    return both.select(k.alias("query_id"), text.alias("text"), external.alias("external_id")), a
+
+
+def resolution(t, fuzzy=False):
+    return resolve.candidates(*resolution_tables(t), fuzzy)
 
 
 @query("e1_candidates", f"WITH {RES_SQL} SELECT query_id, CAST(entity_id AS BIGINT) AS entity_id, CAST(round(score, 4) AS DOUBLE) AS score FROM found")
@@ -157,6 +164,25 @@ def _(t):
     return resolve.decisions(resolution(t))
 
 
+_DECIDED = """dd AS (SELECT query_id, entity_id, CASE WHEN score >= 0.92 AND NOT coalesce(score - second < 0.03 AND score < 1.01, false) THEN 'matched' WHEN score >= 0.75 THEN 'review' ELSE 'new' END AS decision
+  FROM (SELECT *, lead(score) OVER w AS second, row_number() OVER w AS rn FROM found WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, entity_id)) WHERE rn = 1)"""
+
+
+@query("f11_routing", f"""WITH {RES_SQL}, {_DECIDED}, c AS (SELECT q.query_id AS id, ['entity', 'fact', 'relationship', 'historical_name'][CAST(q.query_id // 5 % 4 AS INTEGER) + 1] AS kind, qn.n AS form, q.query_id % 3 AS source_id, CASE WHEN q.query_id % 2 = 0 THEN 'population' ELSE 'located_in' END AS key, entity_id, decision FROM q JOIN qn ON qn.query_id = q.query_id LEFT JOIN dd ON dd.query_id = q.query_id),
+ev AS (SELECT form, count(DISTINCT source_id) AS evidence FROM c WHERE kind = 'entity' AND coalesce(decision, 'new') = 'new' GROUP BY form),
+s AS (SELECT c.*, CASE WHEN kind = 'entity' AND coalesce(decision, 'new') = 'new' THEN ev.evidence END AS evidence, CASE WHEN kind = 'entity' THEN NULL WHEN coalesce(decision, '') <> 'matched' THEN 'subject not resolved' WHEN kind IN ('fact', 'relationship') AND key = 'population' AND entity_id % 2 = 1 THEN 'key does not apply to subject type' END AS reason FROM c LEFT JOIN ev ON ev.form = c.form)
+SELECT id, CASE kind WHEN 'historical_name' THEN kind WHEN 'entity' THEN kind ELSE 'fact' END AS route, CASE WHEN kind = 'entity' THEN CASE WHEN decision = 'matched' THEN 'matched' WHEN decision = 'review' OR evidence >= 2 THEN 'in_review' ELSE 'needs_evidence' END WHEN reason IS NOT NULL THEN 'in_review' ELSE 'accepted' END AS state, reason, evidence FROM s""")
+def _(t):
+    """Candidates resolved, and routed by what they are and whom they name."""
+    q, a = resolution_tables(t)
+    k = F.col("query_id")
+    kind = F.element_at(F.array(*map(F.lit, ["entity", "fact", "relationship", "historical_name"])), (F.floor(k / 5) % 4 + 1).cast("int"))
+    pending = q.select(k.alias("id"), kind.alias("kind"), F.lit("county").alias("type"), T.normalize(F.col("text")).alias("normalized_form"), F.when(k % 2 == 0, "population").otherwise("located_in").alias("key"), (k % 3).alias("source_id"))
+    decided = resolve.decisions(resolve.candidates(q, a, False)).select(k.alias("id"), "entity_id", "decision", F.when(F.col("entity_id") % 2 == 0, "county").otherwise("port").alias("entity_type"))
+    applies = q.sparkSession.createDataFrame([("population", "county"), ("located_in", "county"), ("located_in", "port")], "key string, entity_type string")
+    return C.routed(pending, decided, applies)
+
+
 _KM = "2 * 6371 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2))))"
 #: Parts stand for entities with two names each; some have no coordinates, some are merged, some have external ids.
 DUP_SQL = """d AS (SELECT p_partkey AS id, p_brand AS type, p_size AS parent_id, CASE WHEN p_partkey % 29 <> 4 THEN 25 + (p_partkey * 7919 % 10000) / 1000.0::DOUBLE END AS lat, 50 + (p_partkey * 104729 % 10000) / 1000.0::DOUBLE AS lng, CASE WHEN p_partkey % 6 = 0 THEN 'Q' || p_size END AS ext FROM part WHERE p_partkey % 13 <> 0),
@@ -226,10 +252,17 @@ def _(t):
     return o.join(F.broadcast(moves), ["before", "event_type"], "left_anti").select("event_id", "before", "event_type")
 
 
-@query("h2_submission_checks", "SELECT c_custkey, concat_ws(',', CASE WHEN c_nationkey % 5 = 0 THEN 'place' END, CASE WHEN c_acctbal < 0 THEN 'consent' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'rights' END) AS issues FROM customer")
+@query("h2_submission_checks", f"""WITH {RES_SQL}, {_DECIDED}, top AS (SELECT query_id, array_to_string(list(entity_id ORDER BY rn), ',') AS dups FROM (SELECT query_id, entity_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rn FROM found) WHERE rn <= 3 GROUP BY 1)
+SELECT q.query_id AS id, decision AS place_decision, coalesce(dups, '') AS dups, concat_ws(';', CASE WHEN q.query_id % 11 = 0 THEN 'no main text' END, CASE WHEN q.query_id % 13 = 0 THEN 'contributor did not consent to publication' END, CASE WHEN q.query_id % 4 = 0 AND q.query_id % 3 <> 0 AND q.query_id % 10 <> 0 THEN 'media rights unclear' END) AS issues
+FROM q LEFT JOIN dd ON dd.query_id = q.query_id LEFT JOIN top ON top.query_id = q.query_id""")
 def _(t):
-    issues = F.array_compact(F.array(F.when(F.col("c_nationkey") % 5 == 0, "place"), F.when(F.col("c_acctbal") < 0, "consent"), F.when(F.col("c_mktsegment") == "BUILDING", "rights")))
-    return t("customer").select("c_custkey", F.array_join(issues, ",").alias("issues"))
+    """What a reviewer sees of a submission: the place's resolution, up to three possible duplicates, and issues."""
+    q, a = resolution_tables(t)
+    k = F.col("query_id")
+    found = resolve.candidates(q, a, False)
+    s = q.select(k.alias("id"), F.when(k % 11 == 0, "").otherwise(F.col("text")).alias("main"), F.when(k % 4 == 0, "photo").otherwise("word").alias("kind"), (k % 13 != 0).alias("consent"), (k % 3 == 0).alias("own_work"), (k % 10 == 0).alias("license_offered"))
+    out = C.submission_checks(s, resolve.decisions(found).withColumnRenamed("query_id", "id"), resolve.best(found, 3).withColumnRenamed("query_id", "id"))
+    return out.select("id", "place_decision", F.array_join("possible_duplicates", ",").alias("dups"), F.array_join("issues", ";").alias("issues"))
 
 
 @query("h3_layers", f"WITH {VALID_SQL} SELECT 'names' AS layer, id, part FROM valid WHERE year_from IS NOT NULL AND year_from <= 1995 AND (year_to IS NULL OR year_to >= 1995) UNION ALL SELECT 'locations', id, part FROM valid WHERE (year_from IS NULL OR year_from <= 1995) AND (year_to IS NULL OR year_to >= 1995)")

@@ -9,6 +9,7 @@ from amberlode.functions import facts as FF
 from amberlode.functions import similarity as S
 from amberlode.functions import text as T
 from amberlode.functions import urls as U
+from amberlode.operators import candidates as C
 from amberlode.operators import pipeline as P
 from amberlode.plans.fixtures import ASSERTIONS_SQL, assertions
 from amberlode.plans.registry import query
@@ -184,11 +185,13 @@ def _(t):
     return t("orders").select("o_orderkey", F.transform(F.filter(claim, lambda c: c["rank"] != "deprecated"), lambda c: c["item"]).alias("ids"), year.alias("y"))
 
 
-@query("n23_classify", "WITH c(cls, type, pr) AS (VALUES (3, 'village', 1), (7, 'port', 2), (11, 'city', 3)), h AS (SELECT p_partkey, type, pr FROM part JOIN c ON p_size % cls = 0) SELECT p_partkey, coalesce(arg_min(h.type, pr), CASE WHEN p_size > 25 THEN 'place' END) AS type FROM part LEFT JOIN h USING (p_partkey) GROUP BY p_partkey, p_size")
+@query("n23_classify", "WITH c(cls, type, priority) AS (VALUES ('Q3', 'village', 1), ('Q7', 'port', 2), ('Q11', 'city', 3)), h AS (SELECT p_partkey, c.type, priority FROM part JOIN c ON c.cls IN ('Q' || (p_size % 12), 'Q' || (p_partkey % 9))) SELECT part.p_partkey AS id, coalesce(arg_min(h.type, priority), CASE WHEN p_size > 40 THEN lower(p_type) END, CASE WHEN part.p_partkey % 2 = 0 THEN 'place' END) AS type FROM part LEFT JOIN h ON h.p_partkey = part.p_partkey GROUP BY part.p_partkey, p_size, p_type")
 def _(t):
-    """The first class in order of the list; else a hint from elsewhere."""
-    order = [(3, "village"), (7, "port"), (11, "city")]
-    return t("part").select("p_partkey", F.coalesce(*[F.when(F.col("p_size") % k == 0, v) for k, v in order], F.when(F.col("p_size") > 25, "place")).alias("type"))
+    """The first class in order of the list, whatever the order of the claims; else a hint; else a place if there are coordinates."""
+    q = lambda x: F.concat(F.lit("Q"), x.cast("string"))
+    items = t("part").select(F.col("p_partkey").alias("id"), F.array(q(F.col("p_partkey") % 9), q(F.col("p_size") % 12)).alias("classes"), F.when(F.col("p_size") > 40, F.lower("p_type")).alias("hint"), (F.col("p_partkey") % 2 == 0).alias("placed"))
+    classes = items.sparkSession.createDataFrame([("Q3", "village", 1), ("Q7", "port", 2), ("Q11", "city", 3)], "cls string, type string, priority int")
+    return C.classified(items, classes)
 
 
 @query("n24_split_pairs")

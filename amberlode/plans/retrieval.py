@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from amberlode.functions import similarity as S
 from amberlode.functions import text as T
+from amberlode.operators import candidates, rag, resolve, search
 from amberlode.operators import pipeline as P
-from amberlode.operators import rag, resolve, search
 from amberlode.plans.fixtures import ENTITIES_SQL, REVIEWED_SQL, places, reviewed
 from amberlode.plans.kernels import normal_sql
 from amberlode.plans.registry import query
@@ -132,9 +132,12 @@ def _(t):
     return resolve.mentions(t("documents"), aliases(t))
 
 
-@query("e6_mention_visibility", "SELECT event_id FROM events WHERE event_type = 'purchase' OR (event_type = 'view' AND value >= 80)")
+@query("e6_mention_visibility", f"WITH {ALIAS_SQL}, {WORDS_SQL}, g AS ({_grams('w', 4)}), n AS (SELECT gram, count(DISTINCT entity_id) AS n FROM al GROUP BY gram), m AS (SELECT DISTINCT g.doc_id, al.entity_id, round(0.8 / n, 4) AS confidence FROM g JOIN al ON al.gram = g.gram JOIN n ON n.gram = g.gram WHERE length(replace(g.gram, ' ', '')) >= 3) SELECT doc_id, entity_id FROM m WHERE doc_id % 10 = 0 OR (doc_id % 10 > 2 AND confidence >= 0.8)")
 def _(t):
-    return t("events").where((F.col("event_type") == "purchase") | ((F.col("event_type") == "view") & (F.col("value") >= 80))).select("event_id")
+    """The mentions that readers see: confirmed ones, and suggested ones of enough confidence."""
+    k = F.col("doc_id") % 10
+    found = resolve.mentions(t("documents"), aliases(t)).withColumn("status", F.when(k == 0, "confirmed").when(k <= 2, "rejected").otherwise("suggested"))
+    return candidates.visible(found).select("doc_id", "entity_id")
 
 
 @query("j15_gazetteer", f"WITH {ALIAS_SQL}, {WORDS_SQL}, g AS ({_grams('w', 2)}) SELECT al.entity_id, count(DISTINCT g.doc_id) AS docs FROM g JOIN al ON al.gram = g.gram WHERE length(replace(g.gram, ' ', '')) >= 3 GROUP BY 1")
