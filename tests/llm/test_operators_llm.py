@@ -352,6 +352,12 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(df.where("vec_id IN (0, 3)"), F.col("vec_id") % 100 == 0, p).count() == 1
 
 
+def test_repeated_vector_ids_are_one_candidate_at_their_least_distance(spark):
+    rows = [(0, [1.0, 0.0], "a"), (0, [1.0, 0.0], "a"), (1, [1.0, 1.0], "b"), (1, [1.0, 0.5], "c"), (2, [3.0, 0.0], "d"), (None, [1.0, 0.1], "e"), (3, [], "f"), (4, [float("inf"), 0.0], "g")]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string"), F.col("vec_id") % 100 == 0).orderBy("rank").collect()
+    assert [tuple(r) for r in out] == [(0, 1, 1, 0.5), (0, 2, 2, 2.0)]
+
+
 @pytest.mark.parametrize("leaf,window,dealt", [(64, 4, 200), (1 << 13, 32, 1 << 16)])
 def test_tree_encoding_equals_the_library(spark, texts, leaf, window, dealt, monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -447,6 +453,31 @@ def test_main_text_of_held_out_pages(spark):
     assert all(r.n_chars == len(r.text) for r in out)
 
 
+HAND_WRITTEN = [
+    ("""<!doctype html><title>Harbour news</title><body><div id=header><a href=/>Home</a> | <a href=/news>News</a></div>
+<div class="main-content"><h1>The old harbour reopens</h1><p>After nine years of work the old harbour has reopened to fishing boats, and the first
+of them came in on Tuesday morning.</p><h2>What comes next</h2><ul><li>A market hall, to open in spring.</li><li>Two more berths for larger boats.</li></ul>
+<table><tr><th>Year</th><th>Boats</th></tr><tr><td>1998</td><td>41</td></tr></table></div>
+<div class="sidebar"><h3>Most read</h3><ul><li><a href=/a>Storm damages pier</a><li><a href=/b>School opens</a></ul></div>
+<div id="comments"><h3>3 comments</h3><div class="comment"><p>I was there on Tuesday and it was a great day for the town, well done to all.</p></div></div>
+<div class="footer">&copy; 2024 Harbour News. All rights reserved.</div>""",
+     ["The old harbour reopens", "After nine years of work the old harbour has reopened to fishing boats, and the first of them came in on Tuesday morning.", "What comes next", "A market hall, to open in spring.", "Two more berths for larger boats.", "Year", "Boats", "1998", "41"]),
+    ("""<html><head><title>x</title><script>var a="<p>no</p>"</script><body><nav><ul><li><a href="/">Start</a></ul></nav><main><article><h1>Bread</h1><p>Mix flour &amp; water.&nbsp;Wait an hour.<p>Bake it hot.
+<blockquote>Good bread takes time.</blockquote><pre>200 g flour
+120 g water</pre><form><input><button>Save</button></form></article></main><aside><p>Buy our book of recipes now, with a discount for readers.</p></aside><footer><p>Contact us at the address below.</p></footer></body></html>""",
+     ["Bread", "Mix flour & water. Wait an hour.", "Bake it hot.", "Good bread takes time.", "200 g flour 120 g water"]),
+    ("""<html><body><div class="cookie-banner"><p>We use cookies to make this site better. Accept or leave.</p></div><section class="story"><h1>Rain at last</h1><p>It rained.</p><div class="ad">Cheap umbrellas here!</div>
+<p>The fields are green again, and the river runs past the mill for the first time since May.</p></section><div class="related"><a href=1>More rain</a><a href=2>Less rain</a></div></body></html>""",
+     ["Rain at last", "It rained.", "The fields are green again, and the river runs past the mill for the first time since May."]),
+    ("<body><article><p>Only one paragraph stands here, and it is the whole of the article.</p></article></body>", ["Only one paragraph stands here, and it is the whole of the article."]),
+]
+
+
+@pytest.mark.parametrize("page,want", HAND_WRITTEN)
+def test_main_text_of_pages_written_by_hand(page, want):
+    assert html_main.main_text([page], html_main.trained())[0].split("\n\n") == want
+
+
 def test_kept_nodes_have_kept_ancestors():
     r = np.random.default_rng(4)
     parent = [-1] + [int(r.integers(0, i)) for i in range(1, 200)]
