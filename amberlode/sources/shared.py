@@ -38,16 +38,15 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back: lineage ends there and a lost executor loses nothing."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["_written_at"] = path
+    return out
 
 
-def remove(spark: SparkSession, df_or_path: DataFrame | str) -> None:
-    """Delete a table that `durable` wrote, once nothing reads it any more."""
-    paths = [df_or_path] if isinstance(df_or_path, str) else {f.rsplit("/", 1)[0] for f in df_or_path.inputFiles()}
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def remove(spark: SparkSession, written: DataFrame | str) -> None:
+    """Delete a table that `durable` wrote, or a path, once nothing reads it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written if isinstance(written, str) else written.__dict__["_written_at"])
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
