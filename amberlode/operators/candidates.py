@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from amberlode.functions import text as T
 
+# Why an item is rejected or waits, and what a reviewer is told of a submission.
+UNKNOWN = {"entity": "unknown entity type", "fact": "unknown property", "relationship": "unknown relation"}
+UNQUOTED, EMPTY = "evidence quote not found in source text", "empty value"
+UNRESOLVED, UNSUITED = "subject not resolved", "key does not apply to subject type"
+NO_TEXT, NO_CONSENT, NO_RIGHTS = "no main text", "contributor did not consent to publication", "media rights unclear"
+
 _ITEM = "kind:string,type:string,surface:string,key:string,object:string,value:string,quote:string,confidence:double"
 PAYLOAD = (
     "struct<entities:array<struct<type:string,name:string,evidence_quote:string,confidence:double>>,"
@@ -39,11 +45,10 @@ def admitted(chunks: DataFrame, types: list[str], properties: list[str], relatio
 
     def judged(normal: Column) -> Column:
         def one(x: Column) -> Column:
-            unknown = F.when((x["kind"] == "entity") & ~F.coalesce(x["type"].isin(types), F.lit(False)), "unknown entity type")
-            unknown = unknown.when((x["kind"] == "fact") & ~F.coalesce(x["key"].isin(properties), F.lit(False)), "unknown property")
-            unknown = unknown.when((x["kind"] == "relationship") & ~F.coalesce(x["key"].isin(relations), F.lit(False)), "unknown relation")
+            known = {"entity": x["type"].isin(types), "fact": x["key"].isin(properties), "relationship": x["key"].isin(relations)}
+            unknown = F.coalesce(*[F.when((x["kind"] == k) & ~F.coalesce(ok, F.lit(False)), UNKNOWN[k]) for k, ok in known.items()])
             quoted = T.let(T.normalize(x["quote"]), lambda q: (F.length(q) >= 3) & normal.contains(q))
-            reason = F.coalesce(unknown, F.when(~quoted, "evidence quote not found in source text"), F.when((x["kind"] == "fact") & (F.coalesce(x["value"], F.lit("")) == ""), "empty value"))
+            reason = F.coalesce(unknown, F.when(~quoted, UNQUOTED), F.when((x["kind"] == "fact") & (F.coalesce(x["value"], F.lit("")) == ""), EMPTY))
             sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["confidence"]))
             return F.struct(x["kind"].alias("kind"), F.when(x["type"].isin(types), x["type"]).alias("type"), x["surface"].alias("surface"), T.normalize(x["surface"]).alias("normalized_form"), x["key"].alias("key"), x["object"].alias("object"), x["value"].alias("value"), F.when(x["confidence"].isNotNull(), sure).alias("confidence"), reason.alias("reason"))
 
@@ -65,7 +70,7 @@ def routed(pending: DataFrame, decided: DataFrame, applies: DataFrame, least_sou
     j = found.join(evidence, F.expr("normalized_form <=> _form AND type <=> _type"), "left")
     matched = F.coalesce(F.col("decision") == "matched", F.lit(False))
     of_entity = F.when(matched, "matched").when(F.col("decision") == "review", "in_review").when(F.col("_evidence") >= least_sources, "in_review").otherwise("needs_evidence")
-    reason = F.when(F.col("kind") == "entity", None).when(~matched, "subject not resolved").when(F.col("kind").isin("fact", "relationship") & F.col("_ok").isNull(), "key does not apply to subject type")
+    reason = F.when(F.col("kind") == "entity", None).when(~matched, UNRESOLVED).when(F.col("kind").isin("fact", "relationship") & F.col("_ok").isNull(), UNSUITED)
     state = F.when(F.col("kind") == "entity", of_entity).when(reason.isNotNull(), "in_review").otherwise("accepted")
     route = F.when(F.col("kind") == "historical_name", "historical_name").when(F.col("kind") == "entity", "entity").otherwise("fact")
     return j.select("id", route.alias("route"), state.alias("state"), reason.alias("reason"), F.when(new, F.col("_evidence")).alias("evidence"))
@@ -78,8 +83,8 @@ def submission_checks(submissions: DataFrame, decided: DataFrame, found: DataFra
     top = found.where("rank <= 3").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "entity_id"))).alias("d"))
     j = submissions.join(decided.select("id", F.col("decision").alias("place_decision")), "id", "left").join(top, "id", "left")
     issues = F.array_compact(F.array(
-        F.when(F.coalesce(F.col("main"), F.lit("")) == "", "no main text"), F.when(~F.col("consent"), "contributor did not consent to publication"),
-        F.when(F.col("kind").isin("photo", "video", "music") & ~F.col("own_work") & ~F.col("license_offered"), "media rights unclear"),
+        F.when(F.coalesce(F.col("main"), F.lit("")) == "", NO_TEXT), F.when(~F.col("consent"), NO_CONSENT),
+        F.when(F.col("kind").isin("photo", "video", "music") & ~F.col("own_work") & ~F.col("license_offered"), NO_RIGHTS),
     ))
     return j.select("id", "place_decision", F.coalesce(F.col("d.entity_id"), F.array().cast("array<bigint>")).alias("possible_duplicates"), issues.alias("issues"))
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from amberlode.operators import facts as O
-from amberlode.operators import graph, rag, resolve, search
+from amberlode.operators import candidates, graph, rag, resolve, search
 from amberlode.plans import catalog
 from amberlode.sources import imports
 from amberlode.sources import tables as X
@@ -307,3 +307,25 @@ def test_the_command_line(spark, tmp_path, capsys):
     spark.createDataFrame([("s1",)], "source_uuid string").write.parquet(str(tmp_path / "s"))
     main(["import", "proverbs", str(tmp_path / "p.csv"), str(tmp_path / "s"), str(tmp_path / "i")], spark)
     assert spark.read.parquet(str(tmp_path / "i/accepted")).count() == 1 == spark.read.parquet(str(tmp_path / "i/rejected")).count()
+
+
+def test_candidates_are_admitted_and_routed(spark):
+    payload = (
+        '{"entities":[{"type":"village","name":"Minab","evidence_quote":"near MINAB.","confidence":1.7}],"facts":[{"subject":"Minab","property":"population","value":"","evidence_quote":"near Minab"},'
+        '{"subject":"Minab","property":"colour","value":"red","evidence_quote":"near Minab"}],"relationships":[{"subject":"Minab","relation":"located_in","object":"Hormozgan","evidence_quote":"in Hormozgan"}],'
+        '"historical_names":[{"entity":"Minab","historical_name":"Hormuz","evidence_quote":"it"}]}'
+    )
+    chunks = spark.createDataFrame([(1, "A village near Minab, it is said.", payload), (2, None, payload), (3, "x", None), (4, "x", "not json")], "chunk_id long, text string, payload string")
+    got = candidates.admitted(chunks, ["village"], ["population"], ["located_in"]).orderBy("chunk_id", "seq").collect()
+    assert [(r.kind, r.status, r.reason) for r in got if r.chunk_id == 1] == [
+        ("entity", "pending", None), ("fact", "rejected", candidates.EMPTY), ("fact", "rejected", candidates.UNKNOWN["fact"]), ("relationship", "rejected", candidates.UNQUOTED), ("historical_name", "rejected", candidates.UNQUOTED),
+    ]
+    assert got[0].confidence == 1.0 and {r.chunk_id for r in got} == {1, 2} and all(r.reason for r in got if r.chunk_id == 2)
+    pending = spark.createDataFrame([(1, "entity", "village", "minab", None, 1), (2, "entity", "village", "minab", None, 2), (3, "entity", None, "new", None, 1), (4, "entity", None, "new", None, 1), (5, "fact", "village", "x", "population", 1), (6, "fact", "village", "y", "length", 1), (7, "fact", "village", "z", "population", 1), (8, "historical_name", None, "x", None, 1), (9, "entity", "village", "q", None, 1)], "id long, kind string, type string, normalized_form string, key string, source_id long")
+    decided = spark.createDataFrame([(5, 50, "matched", "village"), (6, 50, "matched", "village"), (7, 50, "review", "village"), (8, 50, "matched", "village"), (9, 9, "matched", "village")], "id long, entity_id long, decision string, entity_type string")
+    applies = spark.createDataFrame([("population", "village"), ("population", "city"), ("length", "river")], "key string, entity_type string")
+    state = {r.id: (r.route, r.state, r.reason, r.evidence) for r in candidates.routed(pending, decided, applies).collect()}
+    assert state == {
+        1: ("entity", "in_review", None, 2), 2: ("entity", "in_review", None, 2), 3: ("entity", "needs_evidence", None, 1), 4: ("entity", "needs_evidence", None, 1), 5: ("fact", "accepted", None, None),
+        6: ("fact", "in_review", candidates.UNSUITED, None), 7: ("fact", "in_review", candidates.UNRESOLVED, None), 8: ("historical_name", "accepted", None, None), 9: ("entity", "matched", None, None),
+    }
