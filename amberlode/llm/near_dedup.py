@@ -42,7 +42,7 @@ class Params:
     miss: float = 1e-9
     deviations: float = 6.0
     estimators: int = 256
-    block: int = 512
+    block: int = 1024
 
     @property
     def bands(self) -> int:
