@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amberlode.functions import similarity as S
+from amberlode.functions.text import let
 from amberlode.sources.shared import durable, remove, scratch
 
 
@@ -55,21 +56,23 @@ def cells(lat: Column, lng: Column, km: float) -> tuple[Column, Column]:
     def at(n: Column) -> Column:
         return F.least(F.floor(F.pmod(lng + 180, F.lit(360.0)) / 360 * n).cast("long"), n - 1)
 
-    def cell(band: Column, shift: int) -> Column:
-        return F.struct(band.alias("band"), F.pmod(at(count(band)) + shift, count(band)).alias("cell"))
+    def row(band: Column, *shifts: int) -> Column:
+        return let(count(band), lambda n: let(at(n), lambda x: F.array(*[F.struct(band.alias("band"), F.pmod(x + j, n).alias("cell")) for j in shifts])))
 
-    return cell(own, 0), F.array_distinct(F.array(*[cell(own + i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    return let(own, lambda b: row(b, 0))[0], let(own, lambda b: F.array_distinct(F.concat(*[row(b + i, -1, 0, 1) for i in (-1, 0, 1)])))
 
 
-def near(left: DataFrame, right: DataFrame, km: float, by: list[str]) -> DataFrame:
+def near(left: DataFrame, right: DataFrame, km: float, by: list[str], only: Column | None = None) -> DataFrame:
     """Rows of `left` and `right` (both with lat and lng, and `by`, in which they must agree) at most `km` apart: their columns
-    but lat and lng, and the distance, d."""
+    but lat and lng, and the distance, d. `only` is a test of both sides' columns that stands before the distance."""
     a, _ = cells(F.col("lat"), F.col("lng"), km)
     _, around = cells(F.col("lat"), F.col("lng"), km)
     x = left.where("lat IS NOT NULL AND lng IS NOT NULL").withColumn("at", a).withColumnsRenamed({"lat": "alat", "lng": "alng"})
     y = right.where("lat IS NOT NULL AND lng IS NOT NULL").withColumn("at", F.explode(around)).withColumnsRenamed({"lat": "blat", "lng": "blng"})
     d = S.haversine_km(F.col("alat"), F.col("alng"), F.col("blat"), F.col("blng"))
-    return x.join(y, [*by, "at"]).withColumn("d", d).where(F.col("d") <= km).drop("at", "alat", "alng", "blat", "blng")
+    met = x.join(y, [*by, "at"])
+    met = met if only is None else met.where(only)
+    return met.withColumn("d", d).where(F.col("d") <= km).drop("at", "alat", "alng", "blat", "blng")
 
 
 def near_pairs(points: DataFrame, km: float) -> DataFrame:

@@ -68,6 +68,35 @@ def test_duplicates_share_any_name_and_are_not_far_apart(spark):
     assert got == {(1, 2): 0.95, (1, 5): 0.65, (6, 7): 0.85}
 
 
+@pytest.mark.parametrize("pairs, least", [(250_000, 1_000), (20, 3)])
+def test_duplicates_of_common_names_equal_brute_force_and_are_spread(spark, pairs, least, monkeypatch):
+    monkeypatch.setattr(resolve, "BLOCK_PAIRS", pairs, raising=False)
+    monkeypatch.setattr(resolve, "BLOCK_ROWS", least, raising=False)
+    r = random.Random(4)
+    e = [(i, r.choice("xy"), r.choice([7, 8, None]), *r.choice([(None, 56.0), (27.0, None), *[(27 + r.random() / 2, 56 + r.random() / 2)] * 4]), r.choice([None, None, "Q1", "Q2"]), r.choice([None] * 9 + [1])) for i in range(150)]
+    names = [(i, r.choice(["Deh Now", "deh-now", "Gamron", "Mi", "!"])) for i in range(150) for _ in range(3)]
+    own = {i: {n.lower().replace("-", "").replace(" ", "") for k, n in names if k == i} - {"!"} for i in range(150)}
+
+    def km(a, b):
+        if None in (*a[3:5], *b[3:5]):
+            return None
+        la, na, lb, nb = map(math.radians, (*a[3:5], *b[3:5]))
+        return 2 * 6371 * math.asin(math.sqrt(min(1, math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((nb - na) / 2) ** 2)))
+
+    want = {}
+    for a in e:
+        for b in e:
+            far = km(a, b)
+            if a[0] < b[0] and a[6] is None and b[6] is None and own[a[0]] & own[b[0]] and (far is None or far <= 20) and not (a[5] and b[5] and a[5] != b[5]):
+                apart = None not in (a[2], b[2]) and a[2] != b[2]
+                want[a[0], b[0]] = round(min(0.99, 0.80 + 0.05 * (a[1] == b[1]) + 0.1 * (far is not None and far <= 2) - 0.15 * apart), 4)
+    found = resolve.duplicates(spark.createDataFrame(e + e[:20], ENTITY), spark.createDataFrame(names, "entity_id long, alias string")).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((x.a, x.b, x.score) for x in found) == sorted((*k, v) for k, v in want.items()) and len(want) > 2000
+    if pairs == 20:  # a few names, and no task with most of their pairs
+        held = Counter(x.part for x in found)
+        assert max(held.values()) < len(found) / 2
+
+
 def test_search_documents_hold_every_name_and_fact(spark):
     e = spark.createDataFrame([(1, "Bandar Abbas", "Hormozgan", "city", 20, None), (2, "Gamron", None, "village", 0, 1), (3, "Qeshm", "Hormozgan", "island", 0, None)], "id long, title string, parent_title string, type string, facts long, merged_into_id long")
     names = spark.createDataFrame([(1, "Bandar Abbas", False), (1, "Gamron", True), (1, "Port-Comorão", True)], "entity_id long, alias string, historical boolean")
